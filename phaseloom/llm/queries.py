@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phaseloom.llm import bpe, exact_dedup, packing, secrets, sharding, token_files
+from phaseloom.llm import bpe, exact_dedup, minhash, packing, secrets, sharding, token_files
 from phaseloom.llm.common import table
 
 
@@ -32,12 +32,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op5_bpe_codec, op6_packing, op7_sharding, op10_token_files)
+    f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op5_bpe_codec, op6_packing, op7_sharding, op9_minhash, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -51,4 +55,21 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept,
                text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op9_minhash": r"""
+        WITH RECURSIVE
+        w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+            FROM w),
+        e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y USING (shingle) WHERE x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM s JOIN c USING (doc_id)""",
 }
