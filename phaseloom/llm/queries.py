@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phaseloom.llm import bpe, exact_dedup, minhash, packing, secrets, sharding, token_files
+from phaseloom.llm import bpe, exact_dedup, line_dedup, minhash, order_minhash, packing, quality, secrets, sharding, token_files
 from phaseloom.llm.common import table
 
 
@@ -20,6 +21,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "_lines_deleted", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).withColumnRenamed("_lines_deleted", "lines_deleted")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,6 +42,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -41,7 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op5_bpe_codec, op6_packing, op7_sharding, op9_minhash, op10_token_files)
+    f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_line_dedup, op4_fingerprints, op5_bpe_codec, op6_packing, op7_sharding, op8_quality, op9_minhash, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
