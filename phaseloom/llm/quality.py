@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import stored, text_or_empty, utf8_of
+from phaseloom.llm.pretokens import hash_spans
 
 COMPONENTS, RIDGE, WIDTH, SEED = 256, 1e-4, 4.0, 11
 FAN_IN, BINS, LOW, HIGH = 16, 512, -0.5, 1.5
+#: The share of a score that isn't calibrated, which ranks the rows of one level.
+ORDER_SHARE = 0.01
 #: Folds are crc32(doc_id as text) mod 4: two fit the ridge, one calibrates, one is held out.
 FIT_FOLDS, CALIBRATION_FOLD, HELD_OUT_FOLD = (0, 1), 3, 2
 CHUNK_BYTES = 1 << 21
@@ -35,7 +38,7 @@ _CLASS[[*range(48, 58)]] = 3
 _CLASS[[0x20, 9, 10, 11, 12, 13]] = 4
 _CLASS[[ord(c) for c in ".,;:'\"-()?"]] = 5
 _SINGLE = [ord(c) for c in "!|#$%&*<>{}=_@/"]
-N_STATS = 7 + len(_SINGLE) + 9
+N_STATS = 7 + len(_SINGLE) + 10
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -76,6 +79,14 @@ def _statistics(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarra
     mean = np.bincount(owner, length, len(at)) / words
     capital = np.bincount(owner, (kind[places] == 2).astype(float), len(at)) / words
     odd = np.bincount(owner, (kind[places] == 6).astype(float), len(at)) / words
+    stop = ~blank
+    stop[:-1] &= blank[1:] | first[1:]
+    low = data.copy()
+    low[kind == 2] += 32
+    h = hash_spans(low.tobytes(), places, np.flatnonzero(stop) + 1)
+    echo = np.zeros(len(h))
+    echo[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+    cols += [np.sqrt(np.bincount(owner, echo, len(at)) / words)]
     cols += [np.log1p(size), np.log(words), mean, np.sqrt(np.maximum(square - mean**2, 0)), total(kind == 2) / letters, total(same) / size, lines / words, capital, odd]
     return np.stack(cols, 1)
 
@@ -104,7 +115,9 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.learned:
             return np.full(len(x), 0.5)
-        return np.clip(np.interp(self.raw(x), self.knots, self.levels), 0, 1)
+        raw = self.raw(x)
+        order = np.clip((raw - LOW) / (HIGH - LOW), 0, 1)
+        return np.clip((1 - ORDER_SHARE) * np.interp(raw, self.knots, self.levels) + ORDER_SHARE * order, 0, 1)
 
 
 def _sums(spark: SparkSession, df: DataFrame, part, width: int) -> np.ndarray | None:
