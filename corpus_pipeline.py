@@ -25,11 +25,12 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; without labels, none."""
+    """Documents that the classifier holds for bad rather than good go; without
+    labels, none."""
     model = quality.train(spark, docs, table(spark, sf_dir, "labels"))
     if not model.learned:
         return docs.select(*COLUMNS)
-    return docs.select(*COLUMNS).filter(quality.score(model, docs["text"]) >= 0.7)
+    return docs.select(*COLUMNS).filter(quality.score(model, docs["text"]) >= 0.5)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
