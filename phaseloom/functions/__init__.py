@@ -1 +1 @@
-"""See the package README."""
+"""Column builders: every scalar of the two spaces as a Catalyst expression."""

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from phaseloom.plans import scalar_queries, table_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scalar_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scalar_queries.ORACLE_SQL, **table_queries.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
