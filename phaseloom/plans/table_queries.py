@@ -34,9 +34,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 _FOLD = S.LEDGER + f""",
-sound AS (SELECT *, coalesce(ts, seq) AS at, greatest(0.0, coalesce(weight, 1)) AS w FROM ledger WHERE src <> '' AND dst <> '' AND src <> dst),
-placed AS (SELECT *, row_number() OVER (PARTITION BY src, dst, kind ORDER BY at, seq) - 1 AS n FROM sound),
-folded AS (SELECT src, dst, kind, least(5.0, sum(w * power({S.PHI}, -n))) AS weight, min(at) AS first_ts FROM placed GROUP BY src, dst, kind)"""
+sound AS (SELECT *, coalesce(ts, seq) AS mark, greatest(0.0, coalesce(weight, 1)) AS w FROM ledger WHERE src <> '' AND dst <> '' AND src <> dst),
+placed AS (SELECT *, row_number() OVER (PARTITION BY src, dst, kind ORDER BY mark, seq) - 1 AS n FROM sound),
+folded AS (SELECT src, dst, kind, least(5.0, sum(w * power({S.PHI}, -n))) AS weight, min(mark) AS first_ts FROM placed GROUP BY src, dst, kind)"""
 
 
 @query(f"WITH {_FOLD} SELECT src, dst, kind, {S.r('weight', 6)} AS weight, {S.r('first_ts', 3)} AS first_ts FROM folded")
@@ -101,19 +101,19 @@ def p3_phase_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPLIT = S.LEDGER + """,
 placed AS (SELECT *, row_number() OVER (ORDER BY ts, seq) - 1 AS n, count(*) OVER () AS total FROM ledger),
-at AS (SELECT ts AS cut FROM placed WHERE n = CAST(floor(0.7 * (total - 1)) AS BIGINT))"""
+mark AS (SELECT ts AS cut FROM placed WHERE n = CAST(floor(0.7 * (total - 1)) AS BIGINT))"""
 
 
-@query(f"WITH {_SPLIT} SELECT CASE WHEN ts <= cut THEN 'train' ELSE 'test' END AS side, count(*) AS n, {S.r('any_value(cut)', 3)} AS cut FROM ledger, at GROUP BY 1")
+@query(f"WITH {_SPLIT} SELECT CASE WHEN ts <= cut THEN 'train' ELSE 'test' END AS side, count(*) AS n, {S.r('any_value(cut)', 3)} AS cut FROM ledger, mark GROUP BY 1")
 def o1_split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test, at = ledger.split_events(adapters.ledger(spark, sf_dir))
+    train, test, mark = ledger.split_events(adapters.ledger(spark, sf_dir))
     both = train.select(F.lit("train").alias("side")).unionByName(test.select(F.lit("test").alias("side")))
-    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n")).withColumn("cut", rounded(F.lit(at), 3))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n")).withColumn("cut", rounded(F.lit(mark), 3))
 
 
 _FUTURE = _SPLIT + """,
-tr AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM ledger, at WHERE ts <= cut AND src <> dst),
-te AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ledger, at WHERE ts > cut AND src <> dst),
+tr AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM ledger, mark WHERE ts <= cut AND src <> dst),
+te AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ledger, mark WHERE ts > cut AND src <> dst),
 known AS (SELECT a AS id FROM tr UNION SELECT b FROM tr),
 future AS (SELECT a, b FROM te WHERE (a, b) NOT IN (SELECT (a, b) FROM tr) AND a IN (SELECT id FROM known) AND b IN (SELECT id FROM known))"""
 
@@ -538,8 +538,8 @@ def n7_run_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_FUTURE}, ends AS (SELECT a AS source, b AS other FROM future UNION SELECT b, a FROM future), ids AS (SELECT DISTINCT source AS id FROM ends), src AS ({_stride('ids', 64)}), "
-       "deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ledger, at WHERE ts <= cut AND src <> dst UNION ALL SELECT dst FROM ledger, at WHERE ts <= cut AND src <> dst) GROUP BY id), both AS (SELECT a AS u, b AS v FROM tr UNION SELECT b, a FROM tr), "
-       "prop AS (SELECT src.id AS source, deg.id AS other, row_number() OVER (PARTITION BY src.id ORDER BY degree DESC, deg.id) AS n FROM src JOIN deg ON deg.id <> src.id WHERE NOT EXISTS (SELECT 1 FROM both WHERE u = src.id AND v = deg.id)), "
+       "deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ledger, mark WHERE ts <= cut AND src <> dst UNION ALL SELECT dst FROM ledger, mark WHERE ts <= cut AND src <> dst) GROUP BY id), tied AS (SELECT a AS u, b AS v FROM tr UNION SELECT b, a FROM tr), "
+       "prop AS (SELECT src.id AS source, deg.id AS other, row_number() OVER (PARTITION BY src.id ORDER BY degree DESC, deg.id) AS n FROM src JOIN deg ON deg.id <> src.id WHERE NOT EXISTS (SELECT 1 FROM tied WHERE u = src.id AND v = deg.id)), "
        "hit AS (SELECT prop.source, prop.other, ends.source IS NOT NULL AS hit FROM prop LEFT JOIN ends ON ends.source = prop.source AND ends.other = prop.other WHERE n <= 6), "
        "avail AS (SELECT DISTINCT least(source, other) AS a, greatest(source, other) AS b FROM ends WHERE source IN (SELECT id FROM src)) "
        f"SELECT (SELECT count(*) FROM src) AS sources, count(*) AS proposed, CAST(coalesce(sum(CAST(hit AS INTEGER)), 0) AS BIGINT) AS hits, {S.r('coalesce(sum(CAST(hit AS INTEGER)), 0) / count(*)', 4)} AS precision, {S.r('count(DISTINCT CASE WHEN hit THEN least(source, other) || greatest(source, other) END) / (SELECT count(*) FROM avail)', 4)} AS recall, (SELECT count(*) FROM avail) AS available FROM hit")
@@ -581,16 +581,16 @@ def drift_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRIFT = S.LEDGER + """,
 v AS (SELECT src AS series, seq AS t, weight / 10 AS drift FROM ledger),
 n AS (SELECT series, drift, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series) AS n, max(drift) OVER (PARTITION BY series) AS peak FROM v WHERE drift >= 0),
-s AS (SELECT *, min(CASE WHEN drift = peak THEN i END) OVER (PARTITION BY series) AS at FROM n)"""
+s AS (SELECT *, min(CASE WHEN drift = peak THEN i END) OVER (PARTITION BY series) AS mark FROM n)"""
 
 
-@query(f"WITH {_DRIFT}, tail AS (SELECT *, sum(CASE WHEN i >= at THEN 1 ELSE 0 END) OVER (PARTITION BY series) AS after FROM s WHERE n >= 3 AND peak > 1e-4 AND drift > 1e-4), k AS (SELECT series, ln(drift) AS y, row_number() OVER (PARTITION BY series ORDER BY i) - 1 AS k FROM tail WHERE after < 2 OR i >= at), f AS (SELECT series, CASE WHEN count(*) >= 2 THEN -regr_slope(y, k) END AS rate FROM k GROUP BY series) "
+@query(f"WITH {_DRIFT}, tail AS (SELECT *, sum(CASE WHEN i >= mark THEN 1 ELSE 0 END) OVER (PARTITION BY series) AS after FROM s WHERE n >= 3 AND peak > 1e-4 AND drift > 1e-4), k AS (SELECT series, ln(drift) AS y, row_number() OVER (PARTITION BY series ORDER BY i) - 1 AS k FROM tail WHERE after < 2 OR i >= mark), f AS (SELECT series, CASE WHEN count(*) >= 2 THEN -regr_slope(y, k) END AS rate FROM k GROUP BY series) "
        f"SELECT series, {S.r('rate', 4)} AS rate FROM (SELECT DISTINCT series FROM v) LEFT JOIN f USING (series)")
 def v1_recovery_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.recovery_rate(drift_series(spark, sf_dir)).select("series", rounded(F.col("rate"), 4).alias("rate"))
 
 
-@query(f"WITH {_DRIFT}, f AS (SELECT series, CASE WHEN max(peak) <= 0.01 THEN 0 ELSE min(CASE WHEN i > at AND drift <= 0.01 THEN i - at END) END AS builds FROM s GROUP BY series) SELECT series, CAST(builds AS BIGINT) AS builds FROM (SELECT DISTINCT series FROM v) LEFT JOIN f USING (series)")
+@query(f"WITH {_DRIFT}, f AS (SELECT series, CASE WHEN max(peak) <= 0.01 THEN 0 ELSE min(CASE WHEN i > mark AND drift <= 0.01 THEN i - mark END) END AS builds FROM s GROUP BY series) SELECT series, CAST(builds AS BIGINT) AS builds FROM (SELECT DISTINCT series FROM v) LEFT JOIN f USING (series)")
 def v2_recovery_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.recovery_time(drift_series(spark, sf_dir))
 
