@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phaseloom.plans import scalar_queries, table_queries
+from phaseloom.plans import kernel_queries, scalar_queries, table_queries
+from phaseloom.plans.kernel_queries import flagship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scalar_queries.QUERIES, **table_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scalar_queries.ORACLE_SQL, **table_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scalar_queries.QUERIES, **table_queries.QUERIES, **kernel_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scalar_queries.ORACLE_SQL, **table_queries.ORACLE_SQL, **kernel_queries.ORACLE_SQL}
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
