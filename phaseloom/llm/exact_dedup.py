@@ -17,7 +17,7 @@ from phaseloom.llm.common import fresh_path, stored, text_or_empty
 #: Digests with more than 1/HOT_SHARE of a batch, and HOT_LEAST rows at least, are
 #: looked up by broadcast; there are fewer than HOT_SHARE of them, whatever the input.
 HOT_SHARE, HOT_LEAST = 10_000, 1_000
-_LAST = F.lit((1 << 63) - 1)
+_LAST = (1 << 63) - 1
 
 
 def normalised(text: Column) -> Column:
@@ -47,7 +47,7 @@ class DigestIndex:
     def append(self, digests: DataFrame) -> str:
         """Adds what is new in a batch from digests(); returns the batch's name."""
         batch = uuid.uuid4().hex
-        order = F.coalesce("doc_id", _LAST)
+        order = F.coalesce("doc_id", F.lit(_LAST))
         groups = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.min_by("row", order).alias("keep_row"), F.count(F.lit(1)).alias("n"))
         new = groups
         if self.exists:
