@@ -199,6 +199,20 @@ def a1_sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_stream.current_edges(spark, f"{base}/edges").select("src", "dst", "kind", rounded(F.col("weight"), 6).alias("weight"))
 
 
+@query()
+def a2_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two builds of a planted ledger, the second warm: exit code, hash and gate."""
+    from phaseloom.plans.publish import publish
+    from phaseloom.sources.files import read_history
+
+    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or spark.conf.get('spark.checkpoint.dir', '/tmp/phaseloom')}/publish-{uuid.uuid4().hex}"
+    events = atlas.ledger_frame(spark, X.synthetic_ledger(cycles=4)["events"])
+    code, doc = publish(spark, events, base, "v1", 1, epochs=5, report=False)
+    prior = spark.createDataFrame(list(doc["hyper"]["points"].items()), "id string, ball array<double>")
+    again, warm = publish(spark, events, base, "v2", 2, prior=prior, history=read_history(spark, f"{base}/history"), report=False)
+    return spark.createDataFrame([("v1", code, doc["hash"], doc["stop_loss"]["triggered"]), ("v2", again, warm["hash"], warm["stop_loss"]["triggered"])], "version string, code int, hash string, stopped boolean")
+
+
 @query()
 def a3_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, X.bench())
