@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,35 @@ def _small(edges: DataFrame) -> DataFrame:
     return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
 
 
+#: So many distinct edges or fewer are joined up in one task at once, instead of in rounds.
+FEW_EDGES = 200_000
+
+
+def _together(t: pa.Table) -> pa.Table:
+    """Components of a table of edges, by halving paths to the least node."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([top(x) for x in nodes], pa.int64())})
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component): for every node of edges (a, b), the least node it is
     connected to.  Each round is written to the shared folder."""
     now = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = _mark(now)
+    if mark[0] <= FEW_EDGES:
+        return stored(spark, now.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_together, "node long, component long"), "components")
     while mark[0]:
         now = stored(spark, _small(_large(now)), "edges")
         last, mark = mark, _mark(now)

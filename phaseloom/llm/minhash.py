@@ -6,17 +6,17 @@ that share a band's values are candidates, and links are confirmed on the full
 shingle sets.  Documents with equal sets are one class, of which only the
 representative is compared.  The work in a bucket of n classes is about n:
 
-1. every member is compared with one centre of the bucket, and components are
-   formed of the confirmed links;
-2. in buckets that still hold several components, members outside the centre's
-   component are compared with all others, by signature and in blocks of bounded
-   size; the most similar pairs are confirmed first and components formed anew;
+1. every member is compared with CENTRES members of the bucket by signature; its
+   most similar pairs are confirmed, and components are formed of the links;
+2. in buckets that still hold several components, members outside the main one are
+   compared with all others, by a longer signature and in blocks of bounded size;
+   the most similar pairs are confirmed first and components formed anew;
 3. then all pairs that are left between different components are confirmed.
 
 So no link between different texts is lost after banding: a pair of a bucket is
 either within a component already, or compared.  At similarity 0.75 a pair
 shares none of the bands with probability (1 - 0.75^3)^24 = 2e-6, and falls
-below LEAST_ESTIMATE with probability 5e-7.
+below LEAST_ESTIMATE with probability 5e-7, or below LEAST_LONG with 1e-7.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import stored, text_or_empty, utf8_of
@@ -36,6 +36,9 @@ from phaseloom.llm.pretokens import hash_spans
 WORDS, PERMUTATIONS, BANDS, ROWS = 5, 36, 24, 3
 VALUES = 2 * PERMUTATIONS
 LEAST_ESTIMATE = 0.5
+#: Of documents in buckets: min-max hashes of LONG permutations, a byte each.
+LONG, LEAST_LONG = 256, 0.65
+CENTRES, BEST = 4, 2
 BLOCK = 512
 CHUNK_BYTES = 1 << 20
 
@@ -45,6 +48,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 62, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_FACTORS = _rng.integers(1, 1 << 62, LONG, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _rng.integers(1, 1 << 62, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -121,20 +125,43 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig array<int>")
 
 
+def _long_signature(s: np.ndarray) -> bytes:
+    out = np.empty(2 * LONG, np.uint8)
+    with np.errstate(over="ignore"):
+        for k in range(LONG):
+            v = s * _LONG_FACTORS[k]
+            out[k], out[LONG + k] = (v.min() >> np.uint64(20)) & np.uint64(255), (v.max() >> np.uint64(20)) & np.uint64(255)
+    return out.tobytes()
+
+
+def with_long_signature(texts: DataFrame) -> DataFrame:
+    """(node, text) with size, the number of shingles, and long, LONG's bytes."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            long = [_long_signature(s) if len(s) else bytes(2 * LONG) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("text"), pa.array(list(map(len, sets)), pa.int64()), pa.array(long, pa.binary())], ["node", "text", "size", "long"])
+
+    return texts.mapInArrow(run, "node long, text string, size long, long binary")
+
+
 def _agreement(x: Column, y: Column) -> Column:
     same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
     return same / F.lit(VALUES)
 
 
 def _buckets(spark: SparkSession, reps: DataFrame) -> DataFrame:
-    """(bucket, n, centre, node): buckets of two nodes or more.  Bands that bring
+    """(bucket, n, centres, node): buckets of two nodes or more.  Bands that bring
     the same nodes together count once."""
     keys = F.array(*(F.xxhash64(F.lit(i), *(F.col("sig")[i + BANDS * r] for r in range(ROWS))) for i in range(BANDS)))
     rows = reps.select("node", F.explode(keys).alias("bucket")).distinct()
-    mixed = F.xxhash64("node", F.lit(1))
-    groups = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(mixed).alias("y"), F.min_by("node", mixed).alias("centre")).filter("n > 1")
-    chosen = groups.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("centre").alias("centre"))
-    return stored(spark, rows.join(chosen.select("bucket", "n", "centre"), "bucket").select("bucket", "n", "centre", "node"), "buckets")
+    mixed = [F.xxhash64("node", F.lit(j)) for j in range(CENTRES)]
+    first = [F.min_by("node", m).alias(f"c{j}") for j, m in enumerate(mixed)]
+    groups = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mixed[0]).alias("x"), F.bit_xor(mixed[1]).alias("y"), *first).filter("n > 1")
+    chosen = groups.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), *(F.min(f"c{j}").alias(f"c{j}") for j in range(CENTRES)))
+    chosen = chosen.select("bucket", "n", F.array(*(f"c{j}" for j in range(CENTRES))).alias("centres"))
+    return stored(spark, rows.join(chosen, "bucket").select("bucket", "n", "centres", "node"), "buckets")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -159,39 +186,44 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, labels: DataFrame, sigs: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket that are in different components and alike by
-    signature; with ``best``, so many for each member and block at most."""
+def _best(pairs: DataFrame, most: int) -> DataFrame:
+    """Of (node, other, alike), the most similar others of each node, as (a, b)."""
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("alike"), "other"))
+    return pairs.distinct().withColumn("place", place).filter(F.col("place") <= most).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(node, other, alike): pairs of one bucket that are in different components
+    and may be alike by their sizes and long signatures.  node is outside the
+    component that the bucket's first centre is in; other is any."""
     known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    centres = known.filter("node = centre").select("bucket", F.col("component").alias("main"))
-    marked = known.join(centres, "bucket").withColumn("out", F.col("component") != F.col("main"))
+    mains = known.filter(F.col("node") == F.col("centres")[0]).select("bucket", F.col("component").alias("main"))
+    marked = known.join(mains, "bucket").withColumn("out", F.col("component") != F.col("main"))
     open_ = marked.groupBy("bucket").agg(F.sum(F.col("out").cast("long")).alias("n_out")).filter("n_out > 0")
-    rows = marked.join(open_, "bucket").join(sigs, "node")
+    rows = marked.join(open_, "bucket").join(texts.select("node", "size", "long"), "node")
     n_all, n_out = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_out") / BLOCK)
     mine = F.pmod(F.xxhash64("node", F.lit(5)), n_all)
     mine_out = F.pmod(F.xxhash64("node", F.lit(6)), n_out)
-    columns = ["bucket", "node", "component", "sig"]
+    columns = ["bucket", "node", "component", "size", "long"]
     right = rows.select(*columns, mine.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n_out - 1)).alias("part"), F.lit(False).alias("left"))
     left = rows.filter("out").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("block"), mine_out.alias("part"), F.lit(True).alias("left"))
 
     def run(t: pa.Table) -> pa.Table:
-        node, comp = t.column("node").to_numpy(), t.column("component").to_numpy()
+        node, comp, size = (t.column(c).to_numpy() for c in ("node", "component", "size"))
         is_left = t.column("left").to_numpy(zero_copy_only=False)
-        sig = t.column("sig").combine_chunks()
-        sig = np.asarray(sig.flatten()).reshape(-1, VALUES)
+        long = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint8).reshape(-1, 2 * LONG)
         r = np.flatnonzero(~is_left)
-        a, b = [], []
+        out: list[tuple[int, int, int]] = []
         for i in np.flatnonzero(is_left).tolist():
-            alike = (sig[r] == sig[i]).sum(axis=1)
-            ok = np.flatnonzero((comp[r] != comp[i]) & (alike >= LEAST_ESTIMATE * VALUES))
-            if best is not None and len(ok) > best:
-                ok = ok[np.argsort(-alike[ok], kind="stable")[:best]]
-            for j in r[ok].tolist():
-                a.append(min(node[i], node[j]))
-                b.append(max(node[i], node[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            near = np.minimum(size[r], size[i]) * 100 >= percent * np.maximum(size[r], size[i])
+            q = r[near & (comp[r] != comp[i])]
+            alike = (long[q] == long[i]).sum(axis=1)
+            ok = alike >= LEAST_LONG * 2 * LONG
+            out += [(int(node[i]), int(node[j]), int(k)) for j, k in zip(q[ok].tolist(), alike[ok].tolist(), strict=True)]
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "alike": pa.array(c, pa.int64())})
 
-    return left.unionByName(right).groupBy("bucket", "block", "part").applyInArrow(run, "a long, b long").distinct()
+    return left.unionByName(right).groupBy("bucket", "block", "part").applyInArrow(run, "node long, other long, alike long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -210,15 +242,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     reps = stored(spark, reps.select("node", "sig"), "representatives")
     members = _buckets(spark, reps)
     nodes = members.select("node").distinct()
-    sigs = reps.join(nodes, "node", "left_semi")
     ids = docs.select(docs["doc_id"].cast("long").alias("node"), text_or_empty(docs).alias("text"))
-    texts = stored(spark, ids.join(nodes, "node", "left_semi"), "candidate-texts")
+    texts = stored(spark, with_long_signature(ids.join(nodes.hint("merge"), "node", "left_semi")), "candidate-texts")
 
-    stars = members.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    one = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    two = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    stars = stars.join(one, "a").join(two, "b").filter(_agreement(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b").distinct()
-    tested = stored(spark, stars, "pairs")
+    stars = members.select("node", F.explode("centres").alias("other")).filter("node <> other").distinct()
+    one = reps.select("node", F.col("sig").alias("sa"))
+    two = reps.select(F.col("node").alias("other"), F.col("sig").alias("sb"))
+    stars = stars.join(one, "node").join(two, "other").select("node", "other", _agreement(F.col("sa"), F.col("sb")).alias("alike")).filter(F.col("alike") >= LEAST_ESTIMATE)
+    tested = stored(spark, _best(stars, BEST), "pairs")
     links = stored(spark, _confirmed(tested, texts, percent), "links")
     # A doc_id that occurs with several texts ties their classes together.
     again = usable.groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -226,13 +257,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     shared = own.join(own.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").select(F.col("node").alias("a"), F.col("first").alias("b"))
     links = links.unionByName(shared)
     labels = components(spark, links)
-    for best in (3, None):
-        pairs = _across(members, labels, sigs, best).join(tested, ["a", "b"], "left_anti")
+    for best in (BEST, BEST, None):
+        across = stored(spark, _across(members, labels, texts, percent), "across")
+        if across.isEmpty():
+            break
+        across = across.withColumn("a", F.least("node", "other")).withColumn("b", F.greatest("node", "other")).join(tested, ["a", "b"], "left_anti")
+        pairs = across.select("a", "b").distinct() if best is None else _best(across.select("node", "other", "alike"), best)
         pairs = stored(spark, pairs, "pairs")
-        if pairs.isEmpty():
-            if best is None:
-                break
-            continue
         tested = tested.unionByName(pairs)
         more = stored(spark, _confirmed(pairs, texts, percent), "links")
         if not more.isEmpty():
