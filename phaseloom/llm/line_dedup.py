@@ -142,7 +142,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_W
     The earliest document (least doc_id, null last, then the text's hash) keeps
     a common block.  Rows equal in doc_id and text are one document.  Null text
     stays null.  Lines are compared without white space at their ends; blank
-    lines are left out of account and stay.  Empty table: no rows.
+    lines are left out of account and stay.  Columns named like this operator's own
+    are replaced.  Empty table: no rows.
     """
 
     @F.pandas_udf("string")
@@ -155,8 +156,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_W
 
         return pd.Series([one(t, d) for t, d in zip(text, deleted, strict=True)], dtype=object)
 
+    docs = docs.drop("_key", "_hash", "_deleted", "_lines_deleted")
     found = deletion_table(spark, docs, least_words)
-    joined = _keyed(docs).join(found, ["_key", "_hash"], "left")
+    joined = _keyed(docs).join(found.hint("merge"), ["_key", "_hash"], "left")
     text = without(F.col("text").cast("string"), F.col("_deleted"))
     return joined.withColumn("_lines_deleted", F.coalesce(F.size("_deleted"), F.lit(0))).withColumn("text", text).drop("_key", "_hash", "_deleted")
 
