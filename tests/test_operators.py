@@ -94,6 +94,14 @@ def test_structure_on_random_graphs(spark, edges):
         assert hop == {(s, n): h for s in ("n00", "n05") for n, h in g.hops(s).items()}
 
 
+def test_components_in_rounds_and_at_once(edges, monkeypatch):
+    rng = random.Random(5)
+    e = edges([(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(30)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(20)])
+    at_once = {tuple(r) for r in graph.components(e).collect()}
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    assert {tuple(r) for r in graph.components(e).collect()} == at_once and at_once
+
+
 def test_homology(spark, edges):
     basis = graph.cycle_basis(edges(SQUARE))
     steps = {1: "01230", 2: "01210", 3: "03210", 4: "012301230"}
