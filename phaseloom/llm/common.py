@@ -44,7 +44,14 @@ def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: a Python worker holds a batch or two of whole texts.
+BATCH_BYTES = 8 << 20
+
+
 def text_or_empty(df: DataFrame, name: str = "text") -> Column:
+    """The text as a string, null as empty.  Whole texts go to Python in batches of
+    BATCH_BYTES from here on in the session, so a worker's memory is bounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 

@@ -24,7 +24,7 @@ WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 CHUNK_CHARS = 500_000
 #: Entries of a worker's memo; at this many it starts anew, which costs time and changes no result.
-MEMO_ENTRIES = 1 << 20
+MEMO_ENTRIES = 1 << 19
 
 
 @functools.cache

@@ -28,7 +28,8 @@ FAN_IN, BINS, LOW, HIGH = 16, 512, -0.5, 1.5
 ORDER_SHARE = 0.01
 #: Folds are crc32(doc_id as text) mod 4: two fit the ridge, one calibrates, one is held out.
 FIT_FOLDS, CALIBRATION_FOLD, HELD_OUT_FOLD = (0, 1), 3, 2
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+SCORED_ROWS = 512
 
 _CLASS = np.full(256, 6, np.uint8)  # other ASCII
 _CLASS[np.arange(128, 256)] = 0
@@ -226,7 +227,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 def score(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(model.score(statistics(pa.array(s.tolist(), pa.large_string()))))
+        parts = (s.iloc[i : i + SCORED_ROWS] for i in range(0, len(s), SCORED_ROWS))
+        return pd.Series(np.concatenate([np.zeros(0), *(model.score(statistics(pa.array(x.tolist(), pa.large_string()))) for x in parts)]))
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
