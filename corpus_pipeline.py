@@ -36,13 +36,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later documents lose blocks that they share with earlier ones; a document
     of which nothing is left goes."""
-    return _documents(line_dedup.left_over(line_dedup.dedup_lines(spark, docs)))
+    return _documents(line_dedup.left_over(line_dedup.dedup_lines(spark, docs.select(*COLUMNS))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the least doc_id stays."""
+    docs = docs.select(*COLUMNS)
     gone = minhash.near_duplicates(spark, docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
