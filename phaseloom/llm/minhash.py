@@ -16,7 +16,8 @@ representative is compared.  The work in a bucket of n classes is about n:
 So no link between different texts is lost after banding: a pair of a bucket is
 either within a component already, or compared.  At similarity 0.75 a pair
 shares none of the bands with probability (1 - 0.75^3)^24 = 2e-6, and falls
-below LEAST_ESTIMATE with probability 5e-7, or below LEAST_LONG with 1e-7.
+below LEAST_ESTIMATE with probability 5e-7, or below LEAST_LONG with 1e-6.
+A pair that shares several buckets is compared in the first of them only.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ WORDS, PERMUTATIONS, BANDS, ROWS = 5, 36, 24, 3
 VALUES = 2 * PERMUTATIONS
 LEAST_ESTIMATE = 0.5
 #: Of documents in buckets: min-max hashes of LONG permutations, a byte each.
-LONG, LEAST_LONG = 256, 0.65
+LONG, LEAST_LONG = 256, 0.66
 CENTRES, BEST = 4, 2
 BLOCK = 512
 CHUNK_BYTES = 1 << 20
@@ -192,19 +193,21 @@ def _best(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.distinct().withColumn("place", place).filter(F.col("place") <= most).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, best: int | None) -> DataFrame:
     """(node, other, alike): pairs of one bucket that are in different components
     and may be alike by their sizes and long signatures.  node is outside the
-    component that the bucket's first centre is in; other is any."""
+    component that the bucket's first centre is in; other is any.  With ``best``,
+    the most similar ones of each node and block."""
     known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mains = known.filter(F.col("node") == F.col("centres")[0]).select("bucket", F.col("component").alias("main"))
     marked = known.join(mains, "bucket").withColumn("out", F.col("component") != F.col("main"))
     open_ = marked.groupBy("bucket").agg(F.sum(F.col("out").cast("long")).alias("n_out")).filter("n_out > 0")
-    rows = marked.join(open_, "bucket").join(texts.select("node", "size", "long"), "node")
+    own = F.collect_set("bucket").over(Window.partitionBy("node"))  # BANDS buckets at most
+    rows = marked.join(open_, "bucket").withColumn("own", own).join(texts.select("node", "size", "long"), "node")
     n_all, n_out = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_out") / BLOCK)
     mine = F.pmod(F.xxhash64("node", F.lit(5)), n_all)
     mine_out = F.pmod(F.xxhash64("node", F.lit(6)), n_out)
-    columns = ["bucket", "node", "component", "size", "long"]
+    columns = ["bucket", "node", "component", "size", "long", "own", "out"]
     right = rows.select(*columns, mine.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n_out - 1)).alias("part"), F.lit(False).alias("left"))
     left = rows.filter("out").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("block"), mine_out.alias("part"), F.lit(True).alias("left"))
 
@@ -212,14 +215,25 @@ def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: in
         node, comp, size = (t.column(c).to_numpy() for c in ("node", "component", "size"))
         is_left = t.column("left").to_numpy(zero_copy_only=False)
         long = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint8).reshape(-1, 2 * LONG)
+        outside = t.column("out").to_numpy(zero_copy_only=False)
+        own = [set(x) for x in t.column("own").to_pylist()]
+        bucket = t.column("bucket")[0].as_py()
         r = np.flatnonzero(~is_left)
         out: list[tuple[int, int, int]] = []
         for i in np.flatnonzero(is_left).tolist():
             near = np.minimum(size[r], size[i]) * 100 >= percent * np.maximum(size[r], size[i])
             q = r[near & (comp[r] != comp[i])]
+            if best is None:  # of two nodes outside, each sees the other
+                q = q[~outside[q] | (node[q] > node[i])]
             alike = (long[q] == long[i]).sum(axis=1)
-            ok = alike >= LEAST_LONG * 2 * LONG
-            out += [(int(node[i]), int(node[j]), int(k)) for j, k in zip(q[ok].tolist(), alike[ok].tolist(), strict=True)]
+            left = best
+            for k in np.argsort(-alike, kind="stable").tolist():
+                if alike[k] < LEAST_LONG * 2 * LONG or left == 0:
+                    break
+                j = int(q[k])
+                if min(own[i] & own[j]) == bucket:
+                    out.append((int(node[i]), int(node[j]), int(alike[k])))
+                    left = None if left is None else left - 1
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "alike": pa.array(c, pa.int64())})
 
@@ -257,10 +271,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     shared = own.join(own.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").select(F.col("node").alias("a"), F.col("first").alias("b"))
     links = links.unionByName(shared)
     labels = components(spark, links)
-    for best in (BEST, BEST, None):
-        across = stored(spark, _across(members, labels, texts, percent), "across")
+    for best in (BEST, 2 * BEST, None):
+        across = stored(spark, _across(members, labels, texts, percent, best), "across")
         if across.isEmpty():
-            break
+            continue
         across = across.withColumn("a", F.least("node", "other")).withColumn("b", F.greatest("node", "other")).join(tested, ["a", "b"], "left_anti")
         pairs = across.select("a", "b").distinct() if best is None else _best(across.select("node", "other", "alike"), best)
         pairs = stored(spark, pairs, "pairs")
