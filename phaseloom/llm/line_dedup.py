@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from phaseloom.llm.common import stored, text_or_empty
 
-#: A common block of fewer words stays: notices and short phrases are no copies.
-LEAST_WORDS = 20
+#: A common run of fewer words stays.  Equal lines of one word come about by chance,
+#: those of two or more hardly do (README).
+LEAST_WORDS = 2
 
 
 def patience(anchors: list[tuple[int, int]]) -> list[int]:

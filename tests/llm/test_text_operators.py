@@ -146,6 +146,19 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(spark, empty).count() == 0
 
 
+def test_line_dedup_deletes_short_lines_that_stand_alone(spark):
+    rng = random.Random(8)
+    own = lambda: words(rng, 12, 50_000)
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    short = ["All rights reserved.", "Read more"]
+    d = spark.createDataFrame([(i, "\n".join([own(), notice, own(), short[0], own(), short[1], own(), "Yes.", own()])) for i in range(4)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark, d).collect()}
+    assert all(x in got[0].text for x in [notice, *short])
+    for i in range(1, 4):
+        assert got[i]._lines_deleted == 3 and "Yes." in got[i].text.split("\n")
+        assert not any(x in got[i].text for x in [notice, *short])
+
+
 def test_patience_finds_a_longest_rising_sequence():
     rng = random.Random(2)
     for _ in range(50):
