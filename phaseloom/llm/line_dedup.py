@@ -5,8 +5,8 @@ line stands once in a document, as patience diff asks of its anchors.  A shared
 line pairs each later document with the first one that has it; every line that a
 document shares with any earlier one is thus in one of its pairs, and a line
 that n documents share makes n - 1 entries.  Within a pair, patience diff (the
-longest rising sequence of anchors, then again over what is left, for passages
-in another order) gives the aligned lines.  Runs of aligned lines of
+longest rising sequence of anchors, then again over what is left till nothing is,
+for passages in another order) gives the aligned lines.  Runs of aligned lines of
 LEAST_WORDS words or more are deleted from the later document.
 """
 
@@ -49,8 +49,12 @@ def patience(anchors: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def aligned(anchors: list[tuple[int, int]], passes: int = 8) -> set[int]:
-    """Places in the later document that align with the earlier one."""
+def aligned(anchors: list[tuple[int, int]], passes: int | None = None) -> set[int]:
+    """Places in the later document that align with the earlier one, by so many
+    rising sequences.  A pass takes one anchor at least and passes go on till none is
+    left, so without a bound every anchor is taken and no sequence has to be found."""
+    if passes is None:
+        return {a for a, _ in anchors}
     left, out = sorted(anchors), set()
     for _ in range(passes):
         if not left:

@@ -173,6 +173,17 @@ def test_patience_finds_a_longest_rising_sequence():
         assert line_dedup.aligned(a, 9) == set(range(9))
 
 
+def test_passages_in_any_order_are_aligned():
+    rng = random.Random(9)
+    blocks = [list(range(3 * i, 3 * i + 3)) for i in range(10)]
+    backwards = list(enumerate(x for b in reversed(blocks) for x in b))
+    shuffled = list(enumerate(rng.sample(range(200), 200)))
+    for a in (backwards, shuffled):
+        assert line_dedup.aligned(a) == line_dedup.aligned(a, len(a)) == set(range(len(a)))
+    lines = [{"place": p, "line": p, "words": 20, "first_key": 1, "first_hash": 1, "first_place": q} for p, q in backwards]
+    assert line_dedup.deletions(lines, line_dedup.LEAST_WORDS) == list(range(30))
+
+
 def _omh(text: str) -> list[int]:
     """Brute force: every order is sorted by itself."""
     def h(seed: int, *xs) -> int:
