@@ -3,9 +3,11 @@
 Base patterns: assignments, access keys and hexadecimal runs.  The method adds
 spans of kind ``random``: runs of key characters that a tiktoken vocabulary
 needs many tokens for.  Prose has three or more characters a token, random
-strings about one and a half.  Known digests and identifiers (UUIDs, plain
-numbers, hexadecimal digests, words joined by dashes or underscores) are not
-tested.  Offsets are code points.
+strings about one and a half, with digits or without.  Known digests and
+identifiers (UUIDs, plain numbers, hexadecimal digests) are not tested; words and
+words joined by dashes, underscores or slashes have a high ratio.  A run that is not
+random as a whole is tested again without the words at its ends, and part by part,
+as paths and names dilute the ratio.  Offsets are code points.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 #: A run of at least so many key characters is tested, and is random under so many characters a token.
 RUN_LENGTH, CHARS_PER_TOKEN = 20, 2.0
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-KNOWN = re.compile(rb"[0-9]+|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[A-Za-z]+([-_/][A-Za-z]+)*|(.)\2*")
+KNOWN = re.compile(rb"[0-9]+|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(.)\2*")
+WORDS = re.compile(rb"[A-Za-z]+([-_/=][A-Za-z]+)*")
+PART = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![^-_/=])|[^-_/=]+")
 DIGEST = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 
 _HEX = np.zeros(256, bool)
@@ -57,13 +61,53 @@ def _long_runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.
     return a[keep], b[keep]
 
 
+def _tokens(run: bytes, vocabulary) -> int:
+    ((_, ids),) = vocabulary.encode([run.decode("ascii")])
+    return len(ids)
+
+
+def _known(run: bytes) -> bool:
+    return bool(KNOWN.fullmatch(run) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)))
+
+
 def _looks_random(run: bytes, vocabulary) -> bool:
-    if KNOWN.fullmatch(run) or (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)):
+    if _known(run):
         return False
-    if not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)):
+    if not re.search(rb"[A-Za-z]", run):
         return False
-    ((_, ids),) = vocabulary.encode([run.decode("ascii")])
-    return len(run) < CHARS_PER_TOKEN * len(ids)
+    if WORDS.fullmatch(run):  # dashes between short words cost a token each
+        parts = PART.findall(run)
+        return sum(map(len, parts)) < CHARS_PER_TOKEN * sum(_tokens(p, vocabulary) for p in parts)
+    return len(run) < CHARS_PER_TOKEN * _tokens(run, vocabulary)
+
+
+def _is_word(part: bytes, vocabulary) -> bool:
+    """Of a part between separators: a known one or letters of a high ratio."""
+    if _known(part):
+        return True
+    n = _tokens(part, vocabulary) if part.isalpha() else 0
+    return n == 1 or (n > 0 and len(part) >= CHARS_PER_TOKEN * n)
+
+
+def _random_bounds(run: bytes, vocabulary) -> list[tuple[int, int]]:
+    """The whole run if it is random, else what is left without the words at its ends
+    if that is, else the random ones of its parts."""
+    if _looks_random(run, vocabulary):
+        return [(0, len(run))]
+    parts = [m.span() for m in PART.finditer(run)]
+    if len(parts) < 2:
+        return []
+    i, j = 0, len(parts)
+    while i < j and _is_word(run[slice(*parts[i])], vocabulary):
+        i += 1
+    while i < j and _is_word(run[slice(*parts[j - 1])], vocabulary):
+        j -= 1
+    core = [(parts[i][0], parts[j - 1][1])] if i < j else []
+    for bounds in (core, parts):
+        found = [(a, b) for a, b in bounds if b - a >= RUN_LENGTH and _looks_random(run[a:b], vocabulary)]
+        if found:
+            return found
+    return []
 
 
 def scan(texts: pa.Array, vocabulary) -> list[list[tuple[str, int, int]]]:
@@ -91,9 +135,9 @@ def scan(texts: pa.Array, vocabulary) -> list[list[tuple[str, int, int]]]:
             i = int(text_of(a))
             found[i].append((int(a - off[i]), 2, int(b - off[i])))
         for a, b in zip(*_long_runs(_KEY[data], off, RUN_LENGTH), strict=True):
-            if _looks_random(blob[a:b], vocabulary):
-                i = int(text_of(a))
-                found[i].append((int(a - off[i]), 3, int(b - off[i])))
+            i = int(text_of(a))
+            for p, q in _random_bounds(blob[a:b], vocabulary):
+                found[i].append((int(a + p - off[i]), 3, int(a + q - off[i])))
     out = []
     for i, spans in enumerate(found):
         if spans:

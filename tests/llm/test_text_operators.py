@@ -100,6 +100,24 @@ def test_random_strings_are_told_from_words_and_identifiers(spark):
     assert sum(n[i] for i in range(30)) >= 29 and not any(n[i] for i in range(30, 35))
 
 
+def test_random_letters_and_keys_within_paths_are_found(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda n, alphabet: "".join(rng.choice(alphabet) for _ in range(n))
+    plain = [draw(20 + i, letters) for i in range(20)]
+    keys = [draw(24, letters + "0123456789") for _ in range(40)]
+    within = [f"/download/archive/reports/annual/{k}" for k in keys] + [f"client_secret_production_value={k}/index" for k in keys]
+    good = ["internationalization", "UNCHARACTERISTICALLY", "how_to_make_a_cake_in_an_oven", "src/main/java/com/example/app", "Geschwindigkeitsbegrenzung", "-" * 40, "a" * 40, "=-" * 20, "2024-01-02/2024-01-03/2024", "123e4567-e89b-12d3-a456-426614174000"]
+    d = spark.createDataFrame(list(enumerate(plain + within + good)), "doc_id long, text string")
+    got = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith("random")] for r in secrets.find_secrets(d).collect()}
+    for i, t in enumerate(plain):
+        assert got[i] == [["random", "0", str(len(t))]]
+    for i, t in enumerate(within, len(plain)):
+        k = keys[(i - len(plain)) % len(keys)]
+        assert any(int(a) <= t.index(k) and int(b) >= t.index(k) + len(k) for _, a, b in got[i]), t
+    assert not any(got[i] for i in range(len(plain) + len(within), len(got)))
+
+
 def test_exact_dedup(spark, docs, empty):
     got = exact_dedup.exact_duplicates(spark, docs).collect()
     groups = defaultdict(list)
