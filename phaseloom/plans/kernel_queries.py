@@ -244,13 +244,14 @@ def flagship_torus_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """Each user's nearest users by activity phase: a, b, place, dist.
 
-    Nodes are a stated set (the torus cap), compared with all of it."""
+    Every user is asked for and compared with all others.  The product is made block
+    by block, and a task hands on only the k nearest of each user."""
     from pyspark.sql import Window
 
     from phaseloom.functions import torus as T
 
-    p = ledger.node_phases(adapters.ledger(spark, sf_dir)).filter("id like 'u%'").orderBy("id").limit(charts.TORUS_NODES)
+    p = ledger.node_phases(adapters.ledger(spark, sf_dir)).filter("id like 'u%'")
     p = cut(p.select("id", T.phases_to_torus(F.col("phases")).alias("torus")))
-    pairs = p.select(F.col("id").alias("a"), F.col("torus").alias("s")).join(F.broadcast(p.select(F.col("id").alias("b"), F.col("torus").alias("t"))), F.col("a") != F.col("b"))
+    pairs = p.select(F.col("id").alias("a"), F.col("torus").alias("s")).join(p.select(F.col("id").alias("b"), F.col("torus").alias("t")), F.col("a") != F.col("b"))
     d = pairs.select("a", "b", rounded(T.torus_distance(F.col("s"), F.col("t"), T.scale_weights()), 5).alias("dist"))
     return d.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).filter(F.col("place") <= k)

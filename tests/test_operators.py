@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phaseloom.functions.torus import PHI
 from phaseloom.operators import bridges, charts, graph, kernels, ledger, metrics, recovery
@@ -226,3 +228,24 @@ def test_published_figures(topology, arm, recall, hops, topic):
 def test_ranked(spark):
     d = spark.createDataFrame([(f"k{i:03d}",) for i in range(100)], "id string").repartition(7)
     assert [(r.id, r["rank"]) for r in ranked(d, "id").orderBy("id").collect()] == [(f"k{i:03d}", i) for i in range(100)]
+
+
+def test_the_flagship_compares_all_users(spark):
+    from phaseloom.functions import torus as T
+    from phaseloom.plans.kernel_queries import flagship
+    from phaseloom.sources import adapters
+
+    folder = "/root/testdata/sf0.1"
+    p = ledger.node_phases(adapters.ledger(spark, folder)).filter("id like 'u%'")
+    at = {r.id: np.array(r.torus) for r in p.select("id", T.phases_to_torus(F.col("phases")).alias("torus")).collect()}
+    ids = sorted(at)
+    tori, w = np.array([at[i] for i in ids]), np.array(T.scale_weights())
+    got = {}
+    for r in flagship(spark, folder).collect():
+        got.setdefault(r.a, {})[r.place] = (r.b, r.dist)
+    assert len(ids) > charts.TORUS_NODES and sorted(got) == ids
+    for n, i in enumerate(ids):
+        turned = (tori - tori[n] + np.pi) % (2 * np.pi) - np.pi
+        d = np.sqrt(((w * turned) ** 2).sum(1))
+        d[n] = np.inf
+        assert sorted(got[i]) == [1, 2, 3, 4, 5] and [got[i][k][1] for k in range(1, 6)] == pytest.approx(np.sort(d)[:5], abs=2e-5)
