@@ -164,42 +164,134 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(spark, empty).count() == 0
 
 
-def test_line_dedup_deletes_short_lines_that_stand_alone(spark):
+def test_line_dedup_replaces_columns_of_its_own_names(spark):
+    d = spark.createDataFrame([(1, "one two three four five six seven eight", 5, 6, 7, 8, 9), (2, "one two three four five six seven eight\nx", 5, 6, 7, 8, 9)], "doc_id long, text string, _key long, _hash long, _deleted long, place long, words long")
+    got = sorted(map(tuple, line_dedup.dedup_lines(spark, d).select("doc_id", "text", "_lines_deleted", "place", "words").collect()))
+    assert got == [(1, "one two three four five six seven eight", 0, 8, 9), (2, "x", 1, 8, 9)]
+
+
+def _nonblank(text: str) -> list[str]:
+    return [x.strip() for x in text.split("\n") if x.strip()]
+
+
+def _longest_rising(pairs: list[tuple[int, int]]) -> int:
+    best = []
+    for a, b in sorted(pairs):
+        best.append(1 + max((n for (p, q), n in zip(sorted(pairs), best) if p < a and q < b), default=0))
+    return max(best, default=0)
+
+
+def _by_pairs(texts: dict[int, str], least: int, moved: int) -> dict[int, set[int]]:
+    """Brute force over all pairs of documents, without keys or hashes: the lines of common
+    runs of ``least`` words or more, aligned in order, and passages of ``moved`` words."""
+    lines = {i: _nonblank(t) for i, t in texts.items()}
+    gone: dict[int, set[int]] = defaultdict(set)
+    for later in texts:
+        for first in texts:
+            if first >= later:
+                continue
+            x, y = lines[later], lines[first]
+            size = [len(v.split()) for v in x]
+            equal = {(a, b) for a in range(len(x)) for b in range(len(y)) if x[a] == y[b]}
+            runs = [r for r in line_dedup.blocks(equal) if sum(size[a] for a, _ in r) >= least]
+            every = {p for r in runs for p in r}
+            once = {(a, b) for a, b in every if x.count(x[a]) == 1 and y.count(y[b]) == 1}
+            assert len(once) == len(every)  # the corpora here repeat no line within a document
+            chosen = line_dedup.patience(list(every))
+            assert len(chosen) == _longest_rising(list(every))
+            for block in line_dedup.blocks(chosen):
+                if sum(size[a] for a, _ in block) >= least:
+                    gone[later] |= {a for a, _ in block}
+            rest = {p for p in every if p[0] not in {a for a, _ in chosen} and p[1] not in {b for _, b in chosen}}
+            for block in line_dedup.blocks(rest):
+                if sum(size[a] for a, _ in block) >= moved:
+                    gone[later] |= {a for a, _ in block}
+    return gone
+
+
+@pytest.mark.parametrize("rare", [8, 0])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, rare):
+    """Blocks of lines dealt into documents in order, and lines of every length.  With no
+    rare keys, only first holders are paired: each block here has one order everywhere."""
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    rng = random.Random(21)
+    fresh = lambda n: " ".join(f"x{rng.randrange(10**7)}" for _ in range(n))
+    shelf = [[fresh(rng.choice((1, 2, 3, 5, 9, 14))) for _ in range(rng.randrange(1, 6))] for _ in range(12)]
+    texts = {}
+    for i in range(25):
+        parts = []
+        for k in sorted(rng.sample(range(12), rng.randrange(1, 7))):
+            parts += [fresh(rng.randrange(1, 12))] * rng.randrange(2)
+            block = shelf[k]
+            a = rng.randrange(len(block))
+            parts += block[a : rng.randrange(a, len(block)) + 1]
+        texts[i] = "\n".join([*parts, "", fresh(6)])
+    got = line_dedup.dedup_lines(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = _by_pairs(texts, line_dedup.LEAST_WORDS, line_dedup.MOVED_WORDS)
+    assert sum(map(len, want.values())) > 20
+    for r in got:
+        assert _nonblank(r.text) == [x for i, x in enumerate(_nonblank(texts[r.doc_id])) if i not in want[r.doc_id]], r.doc_id
+        assert r._lines_deleted == len(want[r.doc_id])
+
+
+def test_line_dedup_deletes_blocks_only(spark):
     rng = random.Random(8)
-    own = lambda: words(rng, 12, 50_000)
+    own = lambda n=12: words(rng, n, 50_000)
     notice = "This work is licensed under the GNU General Public License, version 3."
     short = ["All rights reserved.", "Read more"]
-    d = spark.createDataFrame([(i, "\n".join([own(), notice, own(), short[0], own(), short[1], own(), "Yes.", own()])) for i in range(4)], "doc_id long, text string")
+    small = [own(3) for _ in range(10)]
+    order = [own(10) for _ in range(30)]
+    passages = [[own(20), own(20), own(20)] for _ in range(10)]
+    texts = {i: "\n".join([own(), notice, own(), short[0], own(), short[1], own(), "Yes.", own()]) for i in range(4)}
+    texts |= {10 + i: "\n".join([own(), x, own()]) for i, x in enumerate(small)} | {20: "\n".join(small)}
+    texts |= {30: "\n".join(order), 31: "\n".join(reversed(order))}
+    texts |= {40: "\n".join(x for p in passages for x in p), 41: "\n".join(x for p in reversed(passages) for x in p)}
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert notice in got[0].text
+    for i in range(1, 4):  # a notice is a block, a line of three words isn't
+        assert got[i]._lines_deleted == 1 and notice not in got[i].text and all(x in got[i].text for x in short)
+    assert got[20]._lines_deleted == 0  # each from another document, so no two share a block
+    assert got[31]._lines_deleted == 1  # in reverse order, one line aligns
+    assert got[41]._lines_deleted == 30 and got[40]._lines_deleted == 0  # passages in any order
+
+
+def test_line_dedup_splits_frequent_keys(spark):
+    rng = random.Random(4)
+    common, passage = words(rng, 9, 5000), [words(rng, 15, 5000) for _ in range(4)]
+    texts = {i: "\n".join([words(rng, 12, 50_000), common, *(passage if i % 2 else []), words(rng, 12, 50_000)]) for i in range(40)}
+    got = {r.doc_id: r._lines_deleted for r in line_dedup.dedup_lines(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: 0 if i == 0 else 1 if i == 1 or i % 2 == 0 else 5 for i in range(40)}
+
+
+def test_line_dedup_of_a_document_of_200000_lines(spark):
+    body = [f"line {i} has a few words of its own here" for i in range(200_000)]
+    d = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join([*body[:1000], "own words", *body[1500:]]))], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark, d).collect()}
-    assert all(x in got[0].text for x in [notice, *short])
-    for i in range(1, 4):
-        assert got[i]._lines_deleted == 3 and "Yes." in got[i].text.split("\n")
-        assert not any(x in got[i].text for x in [notice, *short])
+    assert got[1]._lines_deleted == 0 and got[2].text == "own words" and got[2]._lines_deleted == 199_500
+
+
+def test_key_runs_cover_just_the_blocks_of_enough_words():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 11) for _ in range(rng.randrange(12))]
+        runs = line_dedup.key_runs(sizes, 8)
+        for i in range(len(sizes)):
+            for j in range(i + 1, len(sizes) + 1):  # any block that two documents might share
+                covered = {k for a, b in runs if i <= a and b <= j for k in range(a, b)}
+                assert covered == (set(range(i, j)) if sum(sizes[i:j]) >= 8 else set())
 
 
 def test_patience_finds_a_longest_rising_sequence():
     rng = random.Random(2)
     for _ in range(50):
-        p = list(range(9))
-        rng.shuffle(p)
-        a = list(enumerate(p))
-        best = [1] * 9
-        for i in range(9):
-            best[i] = 1 + max([best[j] for j in range(i) if p[j] < p[i]], default=0)
+        a = [(rng.randrange(9), rng.randrange(9)) for _ in range(12)]
         got = line_dedup.patience(a)
-        assert len(got) == max(best) and all(p[x] < p[y] for x, y in zip(got, got[1:]))
-        assert line_dedup.aligned(a, 9) == set(range(9))
+        assert len(got) == _longest_rising(list(set(a))) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
 
 
-def test_passages_in_any_order_are_aligned():
-    rng = random.Random(9)
-    blocks = [list(range(3 * i, 3 * i + 3)) for i in range(10)]
-    backwards = list(enumerate(x for b in reversed(blocks) for x in b))
-    shuffled = list(enumerate(rng.sample(range(200), 200)))
-    for a in (backwards, shuffled):
-        assert line_dedup.aligned(a) == line_dedup.aligned(a, len(a)) == set(range(len(a)))
-    lines = [{"place": p, "line": p, "words": 20, "first_key": 1, "first_hash": 1, "first_place": q} for p, q in backwards]
-    assert line_dedup.deletions(lines, line_dedup.LEAST_WORDS) == list(range(30))
+def test_repeated_keys_are_aligned_between_anchors():
+    spine = [(0, 0), (5, 5), (9, 9)]
+    assert line_dedup.aligned(spine, [(2, 7), (3, 3), (7, 2), (7, 7), (12, 12), (11, 4)]) == [(0, 0), (3, 3), (5, 5), (7, 7), (9, 9), (12, 12)]
 
 
 def _omh(text: str) -> list[int]:
