@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -137,17 +138,37 @@ def test_exact_dedup(spark, docs, empty):
 def test_exact_dedup_index_persists(spark, docs):
     index = exact_dedup.DigestIndex(spark)
     first = exact_dedup.exact_duplicates(spark, docs.filter("doc_id <= 8"), index).collect()
-    again = exact_dedup.exact_duplicates(spark, docs, exact_dedup.DigestIndex(spark, index.name)).collect()
+    again = exact_dedup.exact_duplicates(spark, docs, exact_dedup.DigestIndex(spark, index.name).compact()).collect()
     kept = {r.doc_id for r in first if r.kept}
     assert kept == {1, 4, 5, 7, 8}
     assert not {r.doc_id for r in again if r.kept} & set(range(1, 9)) and {r.doc_id for r in again if r.kept} >= set(range(9, 16))
 
 
-def test_exact_dedup_hot_groups_take_the_broadcast_way(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_LEAST", 3)
-    d = spark.createDataFrame([(i, "hot" if i % 3 else f"t{i % 2}") for i in range(60)], "doc_id long, text string")
-    got = exact_dedup.exact_duplicates(spark, d).collect()
-    assert len(got) == 60 and {r.doc_id for r in got if r.kept} == {0, 1, 3}
+def test_exact_dedup_goes_through_the_anti_join(spark, capsys):
+    index = exact_dedup.DigestIndex(spark)
+    old = index.digests(spark.range(1000).selectExpr("id as doc_id", "concat('t', id) as text"))
+    index.append(old)
+    assert index.rows().count() == 1000
+    small = spark.createDataFrame([(2000, "t5")], "doc_id long, text string")  # an index 1,000 times the batch
+    assert [tuple(r)[:4] for r in exact_dedup.exact_duplicates(spark, small, index).collect()] == [(2000, 5, 2, False)]
+    assert index.rows().count() == 1000 and index.tally().count() == 1001
+    index.digests(small).select("digest").join(index.rows().select("digest").hint("merge"), "digest", "left_anti").explain()
+    said = capsys.readouterr().out
+    assert "SortMergeJoin" in said and "LeftAnti" in said and "Bucketed: true" in said
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_dedup_in_batches(spark, monkeypatch, batches):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(90)]), rng.choice(["hot", f"t{rng.randrange(30)}"])) for _ in range(200)]
+    got = exact_dedup.exact_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batches=batches).collect()
+    held = defaultdict(list)
+    for i, t in rows:
+        held[hashlib.sha256(t.encode()).hexdigest()].append(i)
+    least = {h: min((i for i in ids if i is not None), default=None) for h, ids in held.items()}
+    assert key((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == key((i, least[h], len(ids), h) for h, ids in held.items() for i in ids)
+    assert key((r.doc_id, r.text_sha256) for r in got if r.kept) == key((i, h) for h, i in least.items())
 
 
 def test_line_dedup(spark, docs, empty):
@@ -449,6 +470,36 @@ def test_communication_matrix_sums():
     assert abs(mean - 9 * 6 / 21) < 0.1
 
 
+def test_hypergeometric_follows_its_law():
+    for good, bad, sample in ((7, 9, 5), (30, 2, 20), (3, 400, 100), (0, 5, 3), (5, 0, 3)):
+        rng = np.random.default_rng(1)
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, sample) for _ in range(20_000)], minlength=good + 1) / 20_000
+        law = [math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample) if 0 <= sample - k <= bad else 0 for k in range(good + 1)]
+        assert abs(got - law).max() < 0.015
+
+
+def test_communication_matrix_of_five_billion_rows():
+    sizes = np.full(16, 5_000_000_000 // 16, np.int64)
+    counts = np.array([1_250_000_000, 1, 3_749_999_999], np.int64)
+    m = sharding.communication_matrix(counts, sizes, 5)
+    assert (m.sum(1) == counts).all() and (m.sum(0) == sizes).all() and (m >= 0).all()
+    rng = np.random.default_rng(2)
+    draws = np.array([sharding.hypergeometric(rng, 10**11, 3 * 10**11, 10**10) for _ in range(200)], float)
+    mean, spread = 2.5e9, (1e10 * 0.25 * 0.75 * (1 - 1 / 40)) ** 0.5
+    assert abs(draws.mean() - mean) < 4 * spread / 200**0.5 and 0.8 < draws.std() / spread < 1.2
+
+
+def test_matrix_in_groups_has_exact_sums(spark):
+    rng = random.Random(2)
+    counts = [(p, rng.randrange(300)) for p in range(50)]
+    total = sum(n for _, n in counts)
+    sizes = np.full(4, total // 4, np.int64)
+    sizes[: total % 4] += 1
+    got = sharding.matrix_table(spark, spark.createDataFrame(counts, "part long, n long"), sizes, 7, 8).collect()
+    rows = {r.part: np.diff([0, *r.bounds]) for r in got}
+    assert {p: int(x.sum()) for p, x in rows.items()} == dict(counts) and (sum(rows.values()) == sizes).all()
+
+
 def _set(t: str) -> frozenset:
     w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
