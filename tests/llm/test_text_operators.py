@@ -315,6 +315,11 @@ def test_repeated_keys_are_aligned_between_anchors():
     assert line_dedup.aligned(spine, [(2, 7), (3, 3), (7, 2), (7, 7), (12, 12), (11, 4)]) == [(0, 0), (3, 3), (5, 5), (7, 7), (9, 9), (12, 12)]
 
 
+def _xx(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _omh(text: str) -> list[int]:
     """Brute force: every order is sorted by itself."""
     def h(seed: int, *xs) -> int:
@@ -325,7 +330,7 @@ def _omh(text: str) -> list[int]:
 
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     w = [signed(h(42, x)) for x in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)]
-    bits = order_minhash.PLACE_BITS
+    bits, most = max(order_minhash.PLACE_BITS, math.ceil(math.log2(len(w) + 1))), order_minhash.MOST_BITS
     seen: dict[int, int] = defaultdict(int)
     entries = []
     for i in range(len(w)):
@@ -333,20 +338,20 @@ def _omh(text: str) -> list[int]:
         n = seen[k]
         seen[k] += 1
         if n:
-            k = signed(xxhash.xxh64_intdigest(n.to_bytes(4, "little"), h(42, k))) >> bits
+            k = signed(xxhash.xxh64_intdigest(n.to_bytes(4, "little"), h(42, k >> most - bits))) >> bits
         entries.append((k << bits) | i)
     out = []
     for r in order_minhash.RING:
         order = sorted(entries, key=lambda e: (e - r) % (1 << 64))
         two = [order[t % len(order)] for t in range(2)] if order else []
         two.sort(key=lambda e: e & ((1 << bits) - 1))
-        out.append(signed(h(42, *(e >> bits for e in two))) >> 32)
+        out.append(signed(h(42, *(e >> most for e in two))) >> 32)
     return out
 
 
 def test_order_minhash(spark, docs, empty):
     got = order_minhash.fingerprints(spark, docs).collect()
-    rows = sorted(texts_of(), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    rows = sorted(texts_of(), key=lambda r: (r[0] is not None, r[0] or 0, _xx(r[1])))
     assert len(got) == len(rows)
     want = []
     for k, (i, t) in enumerate(rows):
@@ -355,7 +360,7 @@ def test_order_minhash(spark, docs, empty):
         e = t[: len(t) - cut] + nxt[:cut]
         fp, efp, nfp = _omh(t), _omh(e), _omh(nxt)
         s = lambda x: "".join(f"{v & 0xFFFFFFFF:08x}" for v in x)
-        like = lambda x, y: sum(p == q for p, q in zip(x, y)) / 32
+        like = lambda x, y: sum(p == q for p, q in zip(x, y)) / order_minhash.SKETCHES
         want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), s(fp), s(efp), like(fp, efp), like(fp, nfp)))
     assert key(map(tuple, got)) == key(want)
     assert order_minhash.fingerprints(spark, empty).count() == 0
@@ -369,18 +374,30 @@ def test_order_minhash_feels_order_and_edits(spark):
     edited[40] = "other"
     d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((w, edited, swapped, words(rng, 300, 10_000).split()))], "doc_id long, text string")
     fp = {r.doc_id: r.fp for r in order_minhash.with_fingerprint(d, "text", "fp").collect()}
-    like = lambda x, y: sum(p == q for p, q in zip(fp[x], fp[y])) / 32
-    assert like(0, 1) > 0.8 and like(0, 3) == 0 and like(0, 2) < like(0, 1)
+    like = lambda x, y: sum(p == q for p, q in zip(fp[x], fp[y])) / order_minhash.SKETCHES
+    assert like(0, 1) > 0.8 and like(0, 3) < 0.05 and like(0, 2) < like(0, 1)
 
 
-def test_order_minhash_buckets_keep_order(spark, monkeypatch):
-    monkeypatch.setattr(order_minhash, "BUCKET_ROWS", 3)
-    d = spark.createDataFrame([((i * i * 37) % 100_000, f"t{i} a b c") for i in range(200)], "doc_id long, text string")
-    order = sorted(map(tuple, d.collect()))
-    got = {r.doc_id: r.edited_sha256 for r in order_minhash.fingerprints(spark, d).collect()}
+@pytest.mark.parametrize("ids", [lambda i: (i * i * 37) % 100_000, lambda i: None if i % 3 else i, lambda i: 5 if i % 2 else 2**i % 10**9, lambda i: 7])
+def test_order_minhash_parts_keep_order(spark, monkeypatch, ids):
+    monkeypatch.setattr(order_minhash, "PART_ROWS", 3)
+    rows = [(ids(i), f"t{i} a b c") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, _xx(r[1])))
+    want = []
     for k, (i, t) in enumerate(order):
         cut = len(t) // 2
-        assert got[i] == hashlib.sha256((t[: len(t) - cut] + order[(k + 1) % len(order)][1][:cut]).encode()).hexdigest()
+        want.append((i, hashlib.sha256((t[: len(t) - cut] + order[(k + 1) % len(order)][1][:cut]).encode()).hexdigest()))
+    assert key((r.doc_id, r.edited_sha256) for r in order_minhash.fingerprints(spark, d).collect()) == key(want)
+
+
+def test_order_minhash_counts_every_place(spark, monkeypatch):
+    """With few bits for places, a text that needs more takes them."""
+    monkeypatch.setattr(order_minhash, "PLACE_BITS", 4)
+    rng = random.Random(1)
+    t = words(rng, 3000, 40)
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert order_minhash.with_fingerprint(d, "text", "fp").first().fp == _omh(t)
 
 
 def test_bpe_matches_tiktoken(docs, empty):
