@@ -2,7 +2,7 @@
 
 Two tiers: a minimal perfect hash resolves a pre-token that is itself in the
 vocabulary; any other is merged by rank with a heap over linked bytes.  A
-worker remembers what it has merged.
+worker remembers what it has merged.  Both look-ups compare bytes on a hit.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from phaseloom.llm.common import text_or_empty
 from phaseloom.llm.mph import PerfectHash
-from phaseloom.llm.pretokens import PretokenEncoder, hash_spans
+from phaseloom.llm.pretokens import PretokenEncoder, equal_spans, hash_spans, padded
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -68,12 +68,15 @@ class BytePairCodec:
         self.held[at] = keys
         self.id = np.zeros(len(keys), np.int64)
         self.id[at] = [self.ranks[t] for t in tokens]
+        self.bytes, self.start, self.size = padded(blob), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        self.start[at], self.size[at] = ends - sizes, sizes
         self.decimal = np.array([b"%d," % i for i in range(max(self.of) + 1)])
         self.encoder = PretokenEncoder("spaced", pattern, self._merged, self._whole)
 
-    def _whole(self, h: np.ndarray) -> np.ndarray:
+    def _whole(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         at = self.mph.index(h)
-        known = (at >= 0) & (self.held[at] == h)
+        known = (at >= 0) & (self.held[at] == h) & (self.size[at] == size)
+        known[known] = equal_spans(self.bytes, self.start[at[known]], data, starts[known], size[known])
         return np.where(known, self.id[at], -1)
 
     def _merged(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -83,6 +83,11 @@ def _word_encoder(path: str) -> tuple[Tokenizer, PretokenEncoder]:
     return t, PretokenEncoder("words", WORDS_PATTERN, encode)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the greatest id, added tokens included."""
+    return 1 + max(_load(path).get_vocab(with_added_tokens=True).values())
+
+
 def byte_ids(path: str, texts: list[str]) -> Iterator[np.ndarray]:
     for _, ids in _byte_encoder(path).batch(texts):
         yield ids

@@ -157,8 +157,29 @@ def hash_spans(blob: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray
     return h
 
 
+def padded(blob: bytes) -> np.ndarray:
+    """The bytes with room for a whole word behind the last."""
+    return np.frombuffer(blob + bytes(8), np.uint8)
+
+
+def equal_spans(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes from x_at of x are those from y_at of y (both padded)."""
+    xs, ys = (np.ndarray((max(len(z) - 7, 0),), "<u8", z, 0, (1,)) for z in (x, y))
+    out = np.ones(len(size), bool)
+    live, a, b, left = np.arange(len(size)), x_at, y_at, size
+    while len(live):
+        off = xs[a] ^ ys[b]
+        short = left < 8
+        off[short] &= (_U(1) << (left[short].astype(_U) * _U(8))) - _U(1)
+        out[live[off != 0]] = False
+        more = (left > 8) & (off == 0)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return out
+
+
 class Memo:
-    """Open addressing from a 64-bit hash to a run of ids, in arrays."""
+    """Open addressing from a 64-bit hash to a run of ids, in arrays.  The bytes that
+    brought an entry are kept, as other bytes may have its hash."""
 
     def __init__(self, entries: int = MEMO_ENTRIES):
         self.entries = entries
@@ -171,7 +192,10 @@ class Memo:
         self.start = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int32)
         self.pool = np.zeros(4096, np.uint32)
-        self.used = self.pooled = 0
+        self.text = np.zeros(4096, np.uint8)
+        self.text_at = np.zeros(1024, np.int64)
+        self.text_size = np.zeros(1024, np.int64)
+        self.used = self.pooled = self.written = 0
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> _U(64 - self.bits)).astype(np.int64)
@@ -187,14 +211,26 @@ class Memo:
             todo, slot = todo[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """h: distinct and not held yet; ids: the runs one after another."""
-        n = len(h)
+    def holds(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the entries are of just these bytes of data."""
+        out = self.text_size[at] == size
+        out[out] = equal_spans(self.text, self.text_at[at[out]], data, starts[out], size[out])
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        """h: distinct and not held yet; ids: the runs one after another; and the bytes."""
+        n, written = len(h), int(size.sum())
         while self.used + n > len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+            self.start, self.count, self.text_at, self.text_size = (np.resize(x, 2 * len(x)) for x in (self.start, self.count, self.text_at, self.text_size))
         while self.pooled + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
+        while self.written + written + 8 > len(self.text):
+            self.text = np.resize(self.text, 2 * len(self.text))
         own = np.arange(self.used, self.used + n)
+        self.text_at[own] = self.written + np.cumsum(size) - size
+        self.text_size[own] = size
+        self.text[self.written : self.written + written] = data[runs(starts, size)]
+        self.written += written
         self.start[own] = self.pooled + np.cumsum(counts) - counts
         self.count[own] = counts
         self.pool[self.pooled : self.pooled + len(ids)] = ids
@@ -212,10 +248,13 @@ Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 class PretokenEncoder:
-    """Ids of whole texts.  ``front``: an optional first tier, from hashes to an
-    id or -1.  ``encode``: ids and counts for distinct pre-tokens."""
+    """Ids of whole texts.  ``encode``: ids and counts for distinct pre-tokens.
+    ``front``: an optional first tier, from (hashes, bytes, starts, sizes) to an id or -1.
+
+    Both tiers go by hash and then compare bytes.  A pre-token whose hash belongs to
+    other bytes is encoded by itself."""
 
-    def __init__(self, mode: str, pattern: str, encode: Encode, front: Callable[[np.ndarray], np.ndarray] | None = None):
+    def __init__(self, mode: str, pattern: str, encode: Encode, front: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None):
         self.split, self.encode, self.front, self.memo = Splitter(mode, pattern), encode, front, Memo()
 
     def batch(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -235,8 +274,8 @@ class PretokenEncoder:
 
     def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         blob, starts, stops, per = self.split.bounds(parts)
-        h = hash_spans(blob, starts, stops)
-        whole = self.front(h) if self.front else np.full(len(h), -1, np.int64)
+        h, data, size = hash_spans(blob, starts, stops), padded(blob), stops - starts
+        whole = self.front(h, data, starts, size) if self.front else np.full(len(h), -1, np.int64)
         rest = np.flatnonzero(whole < 0)
         hr = h[rest]
         at = self.memo.find(hr)
@@ -251,15 +290,22 @@ class PretokenEncoder:
                 self.memo = Memo(len(fresh))
             src = rest[new[one]]
             ids, counts = self.encode([blob[a:b] for a, b in zip(starts[src].tolist(), stops[src].tolist(), strict=True)])
-            self.memo.add(fresh, ids, counts)
+            self.memo.add(fresh, ids, counts, data, starts[src], size[src])
             at[new] = self.memo.find(hr[new])
+        held = self.memo.holds(at, data, starts[rest], size[rest])
+        alone = rest[~held]  # of another text's hash
+        rest, at = rest[held], at[held]
         count = np.ones(len(h), np.int64)
         count[rest] = self.memo.count[at]
+        if len(alone):
+            own, count[alone] = self.encode([blob[a:b] for a, b in zip(starts[alone].tolist(), stops[alone].tolist(), strict=True)])
         end = np.cumsum(count)
         out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
         direct = whole >= 0
         out[(end - count)[direct]] = whole[direct]
         out[runs((end - count)[rest], count[rest])] = self.memo.pool[runs(self.memo.start[at], count[rest])]
+        if len(alone):
+            out[runs((end - count)[alone], count[alone])] = own
         upto = np.concatenate(([0], end))
         cut = np.concatenate(([0], np.cumsum(per)))
         return out, upto[cut[1:]] - upto[cut[:-1]]

@@ -3,9 +3,11 @@
 Documents go to shards by ascending doc_id.  A shard file holds, one after the
 other: the raw ids of its documents, the documents' keys, a perfect-hash index
 over the keys, and a fixed footer.  The index has, for each key, a 32-bit
-fingerprint and the id offset and length, so a document is read with one hash
-and one ranged read.  Files are written under a temporary name and moved, and
-go to the shared folder by its URI (any file system that pyarrow can reach).
+fingerprint, the document's number and the id offset and length, so a document is
+read with one hash and one ranged read; a hit is compared with the stored key.
+Files are written into a folder of their own and moved, and go to the shared folder
+by its URI (any file system that pyarrow can reach).  A directory file lists the
+shards with their least and greatest keys, so a key is looked up in one shard.
 
 Footer, little-endian: 8 bytes magic, then eight unsigned 64-bit numbers: bytes
 per id, ids, documents, and the places of keys, null flags, perfect hash, entries
@@ -14,6 +16,8 @@ and footer.
 
 from __future__ import annotations
 
+import bisect
+import json
 import struct
 import uuid
 import zlib
@@ -26,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import fresh_path, text_or_empty
-from phaseloom.llm.library_ids import byte_ids
+from phaseloom.llm.library_ids import byte_ids, vocabulary_size
 from phaseloom.llm.mph import PerfectHash, fingerprint, mix
 
-MAGIC = b"idshard1"
+MAGIC = b"idshard2"
 FOOTER = struct.Struct("<8s8Q")
-ENTRY = np.dtype([("fingerprint", "<u4"), ("n", "<u4"), ("start", "<u8")])
+ENTRY = np.dtype([("fingerprint", "<u4"), ("doc", "<u4"), ("n", "<u8"), ("start", "<u8")])
+DIRECTORY, UNFINISHED = "directory.json", "_unfinished"
 READ_IDS = 1 << 20
 
 
@@ -55,13 +60,17 @@ def key_hash(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
 class ShardWriter:
     def __init__(self, uri: str, id_bytes: int):
         self.fs, self.final = _place(uri)
-        self.temporary = f"{self.final}.{uuid.uuid4().hex}"
+        folder, _, name = self.final.rpartition("/")
+        self.fs.create_dir(f"{folder}/{UNFINISHED}")
+        self.temporary = f"{folder}/{UNFINISHED}/{name}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
         self.dtype = np.dtype("<u2" if id_bytes == 2 else "<u4")
         self.keys: list[int | None] = []
         self.counts: list[int] = []
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {int(ids.max())} doesn't fit {self.dtype.itemsize} bytes")
         self.out.write(ids.astype(self.dtype).tobytes())
         self.keys.append(key)
         self.counts.append(len(ids))
@@ -75,7 +84,7 @@ class ShardWriter:
         mph = PerfectHash.build(h)
         at = mph.index(h)
         entries = np.zeros(len(keys), ENTRY)
-        entries["fingerprint"][at], entries["n"][at], entries["start"][at] = fingerprint(h), counts, np.cumsum(counts) - counts
+        entries["fingerprint"][at], entries["doc"][at], entries["n"][at], entries["start"][at] = fingerprint(h), np.arange(len(keys)), counts, np.cumsum(counts) - counts
         total = int(counts.sum())
         place = total * self.dtype.itemsize
         places = []
@@ -118,13 +127,40 @@ class ShardReader:
         """The ids of a document by its key, or None."""
         h = mix(mix(np.array([key], "<i8").astype(np.uint64), 11) ^ mix(np.array([nth * 2], np.uint64), 12), 13)
         (at,) = self.find(h)
-        return None if at < 0 else self.ids(int(self.entries["start"][at]), int(self.entries["n"][at]))
-
-
-def write_shards(docs: DataFrame, path: str, folder: str, end_id: int, id_bytes: int = 2) -> DataFrame:
+        if at < 0 or self.keys[self.entries["doc"][at]] != key or self.null[self.entries["doc"][at]]:
+            return None
+        return self.ids(int(self.entries["start"][at]), int(self.entries["n"][at]))
+
+
+class TokenStore:
+    """Documents of a folder of shards, by key.  Shards are ranges of keys, so the
+    directory tells which may hold one; readers stay open."""
+
+    def __init__(self, folder: str):
+        fs, place = _place(folder)
+        with fs.open_input_stream(f"{place}/{DIRECTORY}") as f:
+            self.shards = [x for x in json.loads(f.read()) if x["greatest"] is not None]
+        self.folder = folder
+        self.firsts = [x["greatest"] for x in self.shards]
+        self.readers: dict[str, ShardReader] = {}
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the first document with this key, or None."""
+        i = bisect.bisect_left(self.firsts, key)
+        if i == len(self.shards) or key < self.shards[i]["least"]:
+            return None
+        name = self.shards[i]["name"]
+        if name not in self.readers:
+            self.readers[name] = ShardReader(f"{self.folder}/{name}")
+        return self.readers[name].get(key)
+
+
+def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFrame:
     """Encodes docs into shard files under folder; a row per file: shard, uri,
-    n_docs, n_ids.  Shards are ranges of (doc_id, text hash, row), so rows that
-    share a doc_id may be split over shards."""
+    n_docs, n_ids, least, greatest (keys).  Shards are ranges of (doc_id, text hash,
+    row), so rows that share a doc_id may be split over shards.  An id takes as many
+    bytes as the vocabulary's greatest id and end_id need."""
+    id_bytes = 2 if max(vocabulary_size(path), end_id + 1) <= 1 << 16 else 4
 
     def run(batches):
         shard = TaskContext.get().partitionId()
@@ -138,12 +174,13 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int, id_bytes:
                 writer.add(key, np.concatenate((ids, end)))
         if writer:
             n_docs, n_ids = writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            known = [k for k in writer.keys if k is not None]
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64()), "least": pa.array([min(known, default=None)], pa.int64()), "greatest": pa.array([max(known, default=None)], pa.int64())})
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
     ordered = rows.select("*", keys[1].alias("h"), keys[2].alias("row")).repartitionByRange(keys[0], "h", "row").sortWithinPartitions(keys[0], "h", "row")
-    return ordered.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long")
+    return ordered.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, least long, greatest long")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -179,7 +216,11 @@ def token_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0
     folder = folder or fresh_path(spark, "ids")
     fs, place = _place(folder)
     fs.create_dir(place)
-    files = sorted(write_shards(docs, path, folder, end_id).collect())
+    files = sorted(write_shards(docs, path, folder, end_id).collect(), key=lambda f: f["shard"])
+    if files:
+        fs.delete_dir(f"{place}/{UNFINISHED}")  # what failed tasks have left
+    with fs.open_output_stream(f"{place}/{DIRECTORY}") as out:
+        out.write(json.dumps([{"name": f["uri"].rpartition("/")[2], **{c: f[c] for c in ("n_docs", "n_ids", "least", "greatest")}} for f in files]).encode())
     base, rows = 0, []
     for f in files:
         rows.append((f["uri"], base))

@@ -417,6 +417,51 @@ def test_bpe_matches_tiktoken(docs, empty):
     assert [ids.tolist() for _, ids in codec.encode(odd)] == [enc.encode_ordinary(t) for t in odd]
 
 
+def test_bpe_compares_bytes_on_a_hash_hit(monkeypatch):
+    """With a hash of three bits, nearly every pre-token meets other bytes."""
+    from phaseloom.llm import pretokens
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.BytePairCodec(path, P.PATTERN)
+    texts = [t for _, t in texts_of() if len(t) < 2000] + [words(random.Random(1), 300)]
+    known = codec.held[:8].copy()
+    monkeypatch.setattr(pretokens, "hash_spans", lambda blob, a, b: known[np.array([sum(blob[x:y]) % 8 for x, y in zip(a, b)], np.int64)])
+    assert [ids.tolist() for _, ids in codec.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    assert [ids.tolist() for _, ids in codec.encode(texts[::-1])] == [enc.encode_ordinary(t) for t in texts[::-1]]
+
+
+def test_long_texts_cross_the_cutting_code(monkeypatch):
+    """Small chunks, so that whole texts are cut, against the libraries on the whole text."""
+    from phaseloom.llm import library_ids, pretokens
+
+    rng = random.Random(11)
+    odd = lambda n: "".join(rng.choice("ab're  \n\t.1é9Σ中😀") for _ in range(n))
+    texts = [words(rng, 30_000), odd(50_000), "x" * 40_000, "", odd(20_000) + words(rng, 9000), " " * 30_000 + "a b"]
+    cut = pretokens.pieces.__wrapped__ if hasattr(pretokens.pieces, "__wrapped__") else pretokens.pieces
+    monkeypatch.setattr(pretokens, "pieces", lambda x: cut(x, 700))
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert [ids.tolist() for _, ids in bpe.codec(path, P.PATTERN).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    for name, ids in (("byte_bpe_50k.json", library_ids.byte_ids), ("word_bpe_49k.json", library_ids.word_ids)):
+        t = Tokenizer.from_file(P.path(name))
+        t.encode_special_tokens = True
+        assert [x.tolist() for x in ids(P.path(name), texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_long_texts_have_the_same_shingles_and_statistics_in_chunks(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = pa.array([words(rng, 3000), "", words(rng, 4000, 50), "a", words(rng, 20)])
+    whole = [(n, d, s.tolist()) for n, d, s in minhash._sign(texts)], quality.statistics(texts).tolist()
+    for module in (minhash, quality):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 1000)
+    assert whole == ([(n, d, s.tolist()) for n, d, s in minhash._sign(texts)], quality.statistics(texts).tolist())
+
+
 def test_perfect_hash():
     keys = mix(np.arange(5000, dtype=np.uint64), 3)
     m = PerfectHash.build(keys)
@@ -621,7 +666,22 @@ def test_token_files(spark, docs, empty, tmp_path):
         at += r.n_tokens
     order = [r.doc_id or 0 for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order)
-    found = [x for f in sorted((tmp_path / "ids").iterdir()) if (x := token_files.ShardReader(f"file://{f}").get(11)) is not None]
-    assert [x.tolist() for x in found] == [ids[11]]
-    assert not any(token_files.ShardReader(f"file://{f}").get(987654) is not None for f in (tmp_path / "ids").iterdir())
+    assert {r.doc_id for r in got} == {i for i, _ in texts_of()}  # null is read back
+    store = token_files.TokenStore(f"file://{tmp_path}/ids")
+    assert all(store.get(i).tolist() == ids[i] for i in ids) and store.get(987654) is None and store.get(-1) is None
+    assert sorted(f.name for f in (tmp_path / "ids").iterdir())[0] == token_files.DIRECTORY and not (tmp_path / "ids" / token_files.UNFINISHED).exists()
     assert token_files.token_files(spark, empty, path).count() == 0
+
+
+def test_token_ids_take_the_width_they_need(tmp_path):
+    w = token_files.ShardWriter(f"file://{tmp_path}/a/narrow.ids", 2)
+    with pytest.raises(ValueError):
+        w.add(1, np.array([70_000], np.uint32))
+    w = token_files.ShardWriter(f"file://{tmp_path}/a/wide.ids", 4)
+    w.add(1, np.array([70_000, 1], np.uint32))
+    w.add(2, np.array([], np.uint32))
+    assert w.close() == (2, 2)
+    r = token_files.ShardReader(f"file://{tmp_path}/a/wide.ids")
+    assert r.get(1).tolist() == [70_000, 1] and r.get(2).tolist() == [] and r.get(3) is None
+    r.keys = np.array([5, 6], "<i8")  # a fingerprint that another key has
+    assert r.get(1) is None
