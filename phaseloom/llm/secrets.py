@@ -4,10 +4,13 @@ Base patterns: assignments, access keys and hexadecimal runs.  The method adds
 spans of kind ``random``: runs of key characters that a tiktoken vocabulary
 needs many tokens for.  Prose has three or more characters a token, random
 strings about one and a half, with digits or without.  Known digests and
-identifiers (UUIDs, plain numbers, hexadecimal digests) are not tested; words and
-words joined by dashes, underscores or slashes have a high ratio.  A run that is not
-random as a whole is tested again without the words at its ends, and part by part,
-as paths and names dilute the ratio.  Offsets are code points.
+identifiers (UUIDs, plain numbers, hexadecimal digests of the usual lengths) are not
+tested, by their form and not by their alphabet; words and words joined by dashes,
+underscores or slashes have a high ratio.  A run that is not random as a whole is
+tested again without the words at its ends, and part by part, as paths and names
+dilute the ratio.  Dots separate runs, but neighbours of DOTTED_LENGTH characters or
+more, which versions and abbreviations haven't, are also tested as one.  Offsets are
+code points.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 #: A run of at least so many key characters is tested, and is random under so many characters a token.
-RUN_LENGTH, CHARS_PER_TOKEN = 20, 2.0
+RUN_LENGTH, CHARS_PER_TOKEN, DOTTED_LENGTH = 20, 2.0, 6
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 KNOWN = re.compile(rb"[0-9]+|[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(.)\2*")
 WORDS = re.compile(rb"[A-Za-z]+([-_/=][A-Za-z]+)*")
@@ -40,7 +43,7 @@ DIGEST = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _KEY = np.zeros(256, bool)
-_KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")] = True
 
 
 def _long_runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +113,30 @@ def _random_bounds(run: bytes, vocabulary) -> list[tuple[int, int]]:
     return []
 
 
+def _dotted_bounds(run: bytes, vocabulary) -> list[tuple[int, int]]:
+    """Random bounds within a run that may have dots."""
+    found, chain = [], []
+
+    def close() -> None:
+        own = [run[a:b] for a, b in chain]
+        size = sum(map(len, own))
+        if len(own) > 1 and size >= RUN_LENGTH and not all(map(_known, own)) and size < CHARS_PER_TOKEN * sum(_tokens(p, vocabulary) for p in own):
+            found.append((chain[0][0], chain[-1][1]))
+        chain.clear()
+
+    at = 0
+    for part in [*run.split(b"."), b""]:
+        span = (at, at + len(part))
+        at += len(part) + 1
+        inside = _random_bounds(part, vocabulary) if len(part) >= RUN_LENGTH else []
+        if inside or len(part) < DOTTED_LENGTH:
+            close()
+            found += [(span[0] + a, span[0] + b) for a, b in inside]
+        else:
+            chain.append(span)
+    return sorted(found)
+
+
 def scan(texts: pa.Array, vocabulary) -> list[list[tuple[str, int, int]]]:
     """Spans of each text, by start and then kind; offsets are code points."""
     data, off = utf8_of(texts)
@@ -136,7 +163,7 @@ def scan(texts: pa.Array, vocabulary) -> list[list[tuple[str, int, int]]]:
             found[i].append((int(a - off[i]), 2, int(b - off[i])))
         for a, b in zip(*_long_runs(_KEY[data], off, RUN_LENGTH), strict=True):
             i = int(text_of(a))
-            for p, q in _random_bounds(blob[a:b], vocabulary):
+            for p, q in _dotted_bounds(blob[a:b], vocabulary):
                 found[i].append((int(a + p - off[i]), 3, int(a + q - off[i])))
     out = []
     for i, spans in enumerate(found):

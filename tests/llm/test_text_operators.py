@@ -119,6 +119,29 @@ def test_random_letters_and_keys_within_paths_are_found(spark):
     assert not any(got[i] for i in range(len(plain) + len(within), len(got)))
 
 
+@pytest.mark.parametrize(("alphabet", "least"), [("a-zA-Z", 0.99), ("a-z", 0.88), ("A-Z", 0.97), ("a-zA-Z0-9", 0.99), ("a-zA-Z0-9-_", 0.99), ("A-Z2-7", 0.98), ("0-9a-f", 0.8)])
+def test_recall_of_random_strings(alphabet, least):
+    """By the ratio alone, whatever the alphabet; 22 characters, no digest's length."""
+    import pyarrow as pa
+
+    letters = [c for c in map(chr, range(33, 127)) if re.fullmatch(f"[{alphabet}]", c)]
+    rng = random.Random(13)
+    drawn = ["".join(rng.choice(letters) for _ in range(22)) for _ in range(300)]
+    got = secrets.scan(pa.array([f"see {x} here" for x in drawn], pa.large_string()), bpe.codec(secrets.default_vocabulary(), P.PATTERN))
+    assert sum(("random", 4, 26) in g or any(k == "hex" for k, _, _ in g) for g in got) >= least * 300
+
+
+def test_dots_do_not_hide_keys_and_versions_are_left():
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    draw = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n)).replace("-", "x")
+    bad = [f"{draw(12)}.{draw(9)}.{draw(14)}" for _ in range(50)] + [f"{draw(30)}.a" for _ in range(50)]
+    good = ["v1.2.3-rc.1+build.123", "docs.example.organisation.documentation", "10.0.0.1.255.255.255.0.17", "e.g.the.end.of.a.sentence.", "report.final.version.2024.pdf", "com.example.project.internal.service"]
+    got = secrets.scan(pa.array(bad + good, pa.large_string()), bpe.codec(secrets.default_vocabulary(), P.PATTERN))
+    assert sum(any(k == "random" for k, _, _ in g) for g in got[:100]) >= 98 and not any(got[100:])
+
+
 def test_exact_dedup(spark, docs, empty):
     got = exact_dedup.exact_duplicates(spark, docs).collect()
     groups = defaultdict(list)
