@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import fresh_path, stored, text_or_empty
+from phaseloom.llm.common import fresh_path, shared_dir, stored, text_or_empty
 
 #: Digests with more than 1/HOT_SHARE of a batch's rows are looked up by broadcast; there
 #: are fewer than HOT_SHARE of them in any batch.
@@ -35,7 +35,8 @@ class DigestIndex:
         self.name = name or f"digests_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.exists = spark.catalog.tableExists(self.name)
-        self.path = None if self.exists else fresh_path(spark, self.name)
+        # An index with a name of its own stays, another goes with the application.
+        self.path = None if self.exists else f"{shared_dir(spark)}/{name}" if name else fresh_path(spark, self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)

@@ -156,13 +156,15 @@ def _buckets(spark: SparkSession, reps: DataFrame) -> DataFrame:
     """(bucket, n, centres, node): buckets of two nodes or more.  Bands that bring
     the same nodes together count once."""
     keys = F.array(*(F.xxhash64(F.lit(i), *(F.col("sig")[i + BANDS * r] for r in range(ROWS))) for i in range(BANDS)))
-    rows = reps.select("node", F.explode(keys).alias("bucket")).distinct()
+    # Stored like chosen below, so that the join alone deals them out and a hot bucket can be split.
+    rows = stored(spark, reps.select("node", F.explode(keys).alias("bucket")).distinct(), "bands")
     mixed = [F.xxhash64("node", F.lit(j)) for j in range(CENTRES)]
     first = [F.min_by("node", m).alias(f"c{j}") for j, m in enumerate(mixed)]
     groups = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mixed[0]).alias("x"), F.bit_xor(mixed[1]).alias("y"), *first).filter("n > 1")
     chosen = groups.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), *(F.min(f"c{j}").alias(f"c{j}") for j in range(CENTRES)))
     chosen = chosen.select("bucket", "n", F.array(*(f"c{j}" for j in range(CENTRES))).alias("centres"))
-    return stored(spark, rows.join(chosen, "bucket").select("bucket", "n", "centres", "node"), "buckets")
+    chosen = stored(spark, chosen, "chosen")
+    return stored(spark, rows.join(chosen.hint("merge"), "bucket").select("bucket", "n", "centres", "node"), "buckets")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
