@@ -163,10 +163,11 @@ def key_rows(docs: DataFrame, least_words: int) -> DataFrame:
 _ROW = ("key", "hash", "place", "words", "once")
 
 
-def _entries(keys: DataFrame, groups: DataFrame) -> DataFrame:
+def _entries(spark: SparkSession, keys: DataFrame, groups: DataFrame) -> DataFrame:
     """A row for each key that a later document shares with an earlier one of its pairs:
     key, hash (the later), place, words, first_key, first_hash, first_place, once."""
-    shared = keys.join(groups.hint("merge"), ["h1", "h2"])
+    # Stored, so that nothing above this join needs a key's rows together, and only rare keys are gathered.
+    shared = stored(spark, keys.join(groups.hint("merge"), ["h1", "h2"]), "shared")
     before = lambda x, y: (x["key"] < y["key"]) | ((x["key"] == y["key"]) & (x["hash"] < y["hash"]))
 
     def entry(later: Column, first: Column) -> Column:
@@ -202,7 +203,7 @@ def deletion_table(spark: SparkSession, docs: DataFrame, least_words: int = LEAS
 
         return entries.map(one)
 
-    own = _entries(keys, groups).groupBy("key", "hash").agg(F.collect_list(F.struct("place", "words", "first_key", "first_hash", "first_place", "once")).alias("entries"))
+    own = _entries(spark, keys, groups).groupBy("key", "hash").agg(F.collect_list(F.struct("place", "words", "first_key", "first_hash", "first_place", "once")).alias("entries"))
     chosen = own.select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), choose("entries").alias("_deleted"))
     return stored(spark, chosen.filter(F.size("_deleted") > 0), "deletions")
 
