@@ -18,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import text_or_empty
+from phaseloom.llm.common import stored, text_or_empty
 
 K, SKETCHES, TAKEN = 3, 128, 2
 #: Bits of an entry that hold its place: this many, or as many as a longer text needs.
 #: What identifies a k-mer are its hash's bits above MOST_BITS, in every text.
 PLACE_BITS, MOST_BITS = 22, 31
 #: Quantiles of doc_id that the driver holds; parts of the order, which are a task each; rows of a part, if there are fewer.
-QUANTILES, PARTS, PART_ROWS = 1024, 65_536, 4_000
+QUANTILES, PARTS, PART_ROWS = 1024, 65_536, 1_000
 _STEP = (1 << 64) // SKETCHES
 RING = [-(1 << 63) + _STEP // 2 + j * _STEP for j in range(SKETCHES)]
 
@@ -137,7 +137,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_key", F.coalesce(docs["doc_id"], F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64("text"))
     range_, part, _ = _order_parts(keyed)
     rows = keyed.withColumn("_range", range_).withColumn("_part", part)
-    firsts = rows.groupBy("_range", "_part").agg(F.min(F.struct("_key", "_hash")).alias("first"))
+    firsts = stored(docs.sparkSession, rows.groupBy("_range", "_part").agg(F.min(F.struct("_key", "_hash")).alias("first")), "part-firsts")
     # A row for each range, 2 QUANTILES + 2 at most.
     heads = sorted(firsts.groupBy("_range").agg(F.min("first").alias("first")).collect())
     following = docs.sparkSession.createDataFrame([(h["_range"], heads[(i + 1) % len(heads)]["first"]) for i, h in enumerate(heads)], firsts.select("_range", F.col("first").alias("after")).schema)
