@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from phaseloom.functions import ball as B
 from phaseloom.functions import torus as T
 from phaseloom.functions.ball import rounded
+from phaseloom.operators.blocks import against_all
+from phaseloom.plans.shared import cut
 
 TORUS_NODES, PAIR_NODES, PAIR_NODES_MOST = 1024, 128, 256
 MOVED = 1e-4
@@ -28,21 +30,42 @@ def _k(k: int) -> int:
     return max(1, min(50, k))
 
 
-def hyper_neighbors(points: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """id, dist, depth of the k nearest to a node; ties by ord.  points: ord, id, ball."""
-    q = points.filter(F.col("id") == query).select(F.col("ball").alias("q")).limit(1)
-    d = points.filter(F.col("id") != query).crossJoin(F.broadcast(q))
+def _asked(points: DataFrame, query: str | list[float], column: str) -> tuple[DataFrame, DataFrame]:
+    """The point asked for, as a table of one row or none, and the points to compare: all
+    others of a node, or all of a vector's dimension."""
+    if isinstance(query, str):
+        return points.filter(F.col("id") == query).select(F.col(column).alias("q")).limit(1), points.filter(F.col("id") != query)
+    q = points.sparkSession.range(1).select(F.array(*(F.lit(float(x)) for x in query)).alias("q"))
+    return q, points.filter(F.size(column) == len(query))
+
+
+def hyper_neighbors(points: DataFrame, query: str | list[float], k: int = 5) -> DataFrame:
+    """id, dist, depth of the k nearest to a node or a vector; ties by ord.  points: ord, id, ball."""
+    q, others = _asked(points, query, "ball")
+    d = others.crossJoin(F.broadcast(q))
     return d.select("ord", "id", rounded(B.distance(F.col("q"), F.col("ball")), 4).alias("dist"), rounded(B.depth(F.col("ball")), 4).alias("depth")).orderBy("dist", "ord").limit(_k(k)).drop("ord")
 
 
-def torus_neighbors(points: DataFrame, query: str, k: int = 5, weighted: bool = True) -> DataFrame:
-    """id, dist, align of the k nearest to a node on the torus; ties by ord."""
-    q = points.filter(F.col("id") == query).select(F.col("torus").alias("q")).limit(1)
-    d = points.filter(F.col("id") != query).crossJoin(F.broadcast(q))
+def torus_neighbors(points: DataFrame, query: str | list[float], k: int = 5, weighted: bool = True) -> DataFrame:
+    """id, dist, align of the k nearest to a node or a vector on the torus; ties by ord."""
+    q, others = _asked(points, query, "torus")
+    d = others.crossJoin(F.broadcast(q))
     dist = T.torus_distance(F.col("q"), F.col("torus"), T.scale_weights() if weighted else None)
     return d.select("ord", "id", rounded(dist, 5).alias("dist"), T.translation_align(F.col("q"), F.col("torus"))[1].alias("align")).orderBy("dist", "ord").limit(_k(k)).drop("ord")
 
 
+def nearest_by_phase(queries: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
+    """a, b, place, dist: for each of a stated set of nodes (id), the k nearest others on the
+    torus, all points compared; ties by id.  points: id, torus."""
+    axis = lambda c: [F.col(c)[i].alias(f"{c}{i}") for i in range(T.DIM)]
+    asked = points.join(queries.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("torus").alias("s")).select("a", *axis("s"))
+    others = points.select(F.col("id").alias("b"), F.col("torus").alias("t")).select("b", *axis("t"))
+    # Plain columns: a loop over the axes of a pair would leave compiled code.
+    square = sum((F.lit(w * w) * T.wrap(F.col(f"s{i}") - F.col(f"t{i}")) ** 2 for i, w in enumerate(T.scale_weights())), F.lit(0.0))
+    pairs = against_all(asked, others, "a", "b").filter("a <> b").select("a", "b", rounded(F.sqrt(square), 5).alias("dist"))
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).filter(F.col("place") <= k)
+
+
 def golden_sequence(spark: SparkSession, n: int, dim: int = T.DIM, seed: float = 0.5) -> DataFrame:
     return spark.range(1, n + 1).select(F.col("id").alias("k"), T.golden_point(F.col("id").cast("double"), dim, seed).alias("seat"))
 
@@ -114,9 +137,10 @@ def product_pairs(balls: DataFrame, tori: DataFrame) -> DataFrame:
 
 def node_pairs(points: DataFrame, order: str, most: int, columns: list[str]) -> DataFrame:
     """All pairs i < j of the first ``most`` nodes: a, b, oa, ob and <column>_a, <column>_b.
-    most is a bound that the caller sets, so one side fits every task."""
-    p = points.orderBy(order).limit(most)
-    one = p.select(F.col("id").alias("a"), F.col(order).alias("oa"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    most is a bound that the caller sets, so one side fits every task.  The first rows
+    stand in one partition, so the other side is dealt out before pairs are made."""
+    p = cut(points.orderBy(order).limit(most))
+    one = p.select(F.col("id").alias("a"), F.col(order).alias("oa"), *(F.col(c).alias(f"{c}_a") for c in columns)).repartition("a")
     two = p.select(F.col("id").alias("b"), F.col(order).alias("ob"), *(F.col(c).alias(f"{c}_b") for c in columns))
     return one.join(F.broadcast(two), F.col("oa") < F.col("ob"))
 
@@ -126,6 +150,7 @@ def disagreements(points: DataFrame, max_nodes: int = PAIR_NODES, top_k: int = 8
     points: ord, id, ball, torus; ties by the order of pairs."""
     n, k = min(PAIR_NODES_MOST, max_nodes), min(50, top_k)
     p = node_pairs(points, "ord", n, ["ball", "torus"]).select("a", "b", "oa", "ob", B.distance(F.col("ball_a"), F.col("ball_b")).alias("ball"), T.torus_distance(F.col("torus_a"), F.col("torus_b"), T.scale_weights()).alias("torus"))
+    p = cut(p)
     most = p.agg(F.greatest(F.lit(1e-9), F.max("ball")).alias("bm"), F.greatest(F.lit(1e-9), F.max("torus")).alias("tm"))
     s = p.crossJoin(F.broadcast(most)).withColumn("s", hyperbolic * (F.col("ball") / F.col("bm")) - toroidal * (F.col("torus") / F.col("tm")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phaseloom.functions.ball import rounded
-from phaseloom.plans.shared import cut
+from phaseloom.plans.shared import cut, ranked, stored
 
 
 def edge_key(a: Column, b: Column) -> Column:
@@ -104,8 +104,7 @@ def cycle_basis(edges: DataFrame) -> DataFrame:
 def homology(walks: DataFrame, basis: DataFrame) -> DataFrame:
     """Signed crossings per walk and chord: walk_id, chord (number by pos), crossings.
     walks: walk_id, k, id."""
-    chords = basis.filter("chord")
-    number = chords.select("pos", "src", "dst", (F.row_number().over(Window.orderBy("pos")) - 1).alias("chord"))  # rows: the cycle rank
+    number = ranked(basis.filter("chord").select("pos", "src", "dst"), "pos", "chord").select("src", "dst", "chord")
     step = walks.withColumn("was", F.lag("id").over(Window.partitionBy("walk_id").orderBy("k"))).filter("was is not null and was <> id")
     keyed = number.select("chord", F.col("src").alias("from"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     hit = step.withColumn("a", F.least("was", "id")).withColumn("b", F.greatest("was", "id")).join(keyed, ["a", "b"])
@@ -118,56 +117,48 @@ def same_recurrence_class(crossings: DataFrame, one: int, two: int) -> DataFrame
     return sides.agg((F.count(F.when(F.col("x") != F.col("y"), 1)) == 0).alias("same"))
 
 
-def _cycle_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one component that lie on a cycle: cut edges are found by lowest
-    discovery numbers over a depth-first order kept on an explicit stack."""
-    near: dict[str, list[tuple[str, int]]] = {}
-    pairs = list(zip(pdf["src"], pdf["dst"], strict=True))
-    for i, (a, b) in enumerate(pairs):
-        near.setdefault(a, []).append((b, i))
-        near.setdefault(b, []).append((a, i))
-    order: dict[str, int] = {}
-    low: dict[str, int] = {}
-    on_cycle = [True] * len(pairs)
-    for root in near:
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        path = [(root, -1, iter(near[root]))]
-        while path:
-            node, via, rest = path[-1]
-            for other, i in rest:
-                if i == via:
-                    continue
-                if other in order:
-                    low[node] = min(low[node], order[other])
-                else:
-                    order[other] = low[other] = len(order)
-                    path.append((other, i, iter(near[other])))
-                    break
-            else:
-                path.pop()
-                if path:
-                    up = path[-1][0]
-                    low[up] = min(low[up], low[node])
-                    if low[node] > order[up]:
-                        on_cycle[via] = False
-    return pd.DataFrame({"src": [p[0] for p, c in zip(pairs, on_cycle, strict=True) if c], "dst": [p[1] for p, c in zip(pairs, on_cycle, strict=True) if c]}, dtype=object)
+def _tour(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """r, tail, rev, next, first: every tree edge's two arcs (tail to head), numbered by
+    (tail, head), in a closed walk along the tree.  After an arc comes the one that leaves
+    its head for the neighbour that follows its tail; next is null at the end of a tree's
+    walk, which begins with the first arc of its root.  first: whether the arc is its
+    tail's first."""
+    arcs = tree.select(F.col("src").alias("tail"), F.col("dst").alias("head")).union(tree.select("dst", "src"))
+    arcs = cut(ranked(arcs.select(F.struct("tail", "head").alias("k")), "k", "r").select("r", "k.tail", "k.head"))
+    ends = arcs.groupBy("tail").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    after = arcs.join(ends, "tail").select("tail", "head", "r", "low", F.when(F.col("r") < F.col("high"), F.col("r") + 1).otherwise(F.col("low")).alias("turn"))
+    reverse = after.select(F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("r").alias("rev"), F.col("turn").alias("next"))
+    starts = roots.join(ends, roots["id"] == ends["tail"]).select(F.col("low").alias("next"), F.lit(True).alias("begins"))
+    walk = after.select("tail", "head", "r", (F.col("r") == F.col("low")).alias("first")).join(reverse, ["tail", "head"]).join(starts, "next", "left")
+    return walk.select("r", "tail", "rev", F.when(F.col("begins").isNull(), F.col("next")).alias("next"), "first")
 
 
 def non_bridge_edges(edges: DataFrame) -> DataFrame:
-    """(a, b), a < b: the edges on some cycle.  Leaves are peeled off first, joined
-    and distributed; only the 2-cores' components reach one task each."""
-    e = cut(distinct_edges(edges).select("src", "dst"))
-    while True:
-        ends = e.select(F.col("src").alias("id")).union(e.select("dst")).groupBy("id").count()
-        leaves = ends.filter("count = 1").select("id")
-        if leaves.isEmpty():
-            break
-        e = cut(e.join(leaves.withColumnRenamed("id", "src"), "src", "left_anti").join(leaves.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    whole = components(e).withColumnRenamed("id", "src")
-    found = e.join(whole, "src").groupBy("component").applyInPandas(lambda pdf: _cycle_edges(pdf), "src string, dst string")
-    return found.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    """(a, b), a < b: the edges on some cycle.
+
+    Chords of a spanning forest are.  A tree edge is if a chord joins both sides of it:
+    each chord has a 64-bit tag, and the tags of the chords' ends that lie on one side,
+    added up without carry, leave those of the chords between the sides.  Arcs after
+    an arc, in a walk along the tree, and arcs after its reverse, differ by just one side,
+    so the tags after every arc are all that is needed.  They come by doubling: each
+    round joins an arc with the one it points at, for as many rounds as the logarithm of
+    the longest walk.  That no chord is overlooked is certain but for 2^-64 an edge."""
+    basis = cut(cycle_basis(edges))
+    chords, tree = basis.filter("chord"), basis.filter("not chord").select("src", "dst")
+    tag = F.xxhash64("src", "dst")
+    at = chords.select(F.col("src").alias("tail"), tag.alias("tag")).union(chords.select("dst", tag)).groupBy("tail").agg(F.bit_xor("tag").alias("tag"))
+    roots = components(tree).filter("id = component").select("id")
+    walk = cut(_tour(tree, roots).join(at, "tail", "left").select("r", "tail", "rev", "next", F.when(F.col("first"), F.col("tag")).otherwise(0).alias("own")).na.fill(0, ["own"]))
+    own = walk.select(F.col("r").alias("next"), F.col("own").alias("beyond"))
+    now = stored(walk.join(own, "next", "left").select("r", "next", F.coalesce("beyond", F.lit(0)).alias("after")))
+    while not now.filter("next is not null").isEmpty():
+        far = now.select(F.col("r").alias("next"), F.col("next").alias("far"), F.col("after").alias("beyond"))
+        step = now.filter("next is not null").join(far, "next").select("r", F.col("far").alias("next"), F.col("after").bitwiseXOR(F.col("beyond")).alias("after"))
+        now = stored(step.unionByName(now.filter("next is null")))
+    sides = walk.select("r", "rev", "tail").join(now.select("r", "after"), "r").join(now.select(F.col("r").alias("rev"), F.col("after").alias("other")), "rev")
+    heads = walk.select(F.col("r").alias("rev"), F.col("tail").alias("head"))
+    covered = sides.filter("after <> other").join(heads, "rev").filter("tail < head").select(F.col("tail").alias("a"), F.col("head").alias("b"))
+    return covered.union(chords.select(F.least("src", "dst"), F.greatest("src", "dst")))
 
 
 def hops(edges: DataFrame, sources: DataFrame, most: int | None = None, extra: DataFrame | None = None) -> DataFrame:

@@ -12,8 +12,8 @@ from phaseloom.functions.torus import DIM, PHI, wrap
 
 BINS, BASE_PERIOD, LEAST_EVENTS, AMPLITUDE_FLOOR = 128, 4.0, 2, 1e-9
 WEIGHT_CAP = 5.0
-#: Repeats of an edge that count: the next would add less than 1e-26 of its weight.
-TERMS = 128
+#: Weights count up to WEIGHT_MOST, so repeats after the first TERMS of an edge add less than 1e-14 together.
+TERMS, WEIGHT_MOST = 128, 1e12
 
 
 def _at() -> Column:
@@ -30,10 +30,11 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     The n-th repeat (from 0) of a triple adds its weight times PHI^-n; the sum is
     capped.  Order is (ts or seq, seq); a missing weight counts 1, a negative
-    one 0.  Only TERMS repeats of a triple leave a task, however many it has.
+    one 0, one above WEIGHT_MOST that.  Only TERMS repeats of a triple leave a task,
+    however many it has.
     """
     own = Window.partitionBy("src", "dst", "kind").orderBy("_at", "seq")
-    e = linked(events).select("src", "dst", "kind", "seq", _at().alias("_at"), F.greatest(F.lit(0.0), F.coalesce(F.col("weight"), F.lit(1.0))).alias("w"))
+    e = linked(events).select("src", "dst", "kind", "seq", _at().alias("_at"), F.least(F.lit(WEIGHT_MOST), F.greatest(F.lit(0.0), F.coalesce(F.col("weight"), F.lit(1.0)))).alias("w"))
     e = e.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= TERMS)
     total = F.sum(F.col("w") * F.pow(F.lit(PHI), 1 - F.col("n")))
     return e.groupBy("src", "dst", "kind").agg(F.least(F.lit(WEIGHT_CAP), total).alias("weight"), F.min("_at").alias("first_ts"), F.min_by("seq", "n").alias("first_seq"))

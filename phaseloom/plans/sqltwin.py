@@ -88,6 +88,16 @@ def shift(a: Vec, b: Vec) -> str:
     return f"atan2({add([f'sin({x})' for x in d])}, {add([f'cos({x})' for x in d])})"
 
 
+def draw(seed: str, k: str) -> str:
+    """The k-th draw (from 1) of a seed, in 128-bit integers cut to 32 bits."""
+    word = lambda x: f"(({x}) % 4294967296::HUGEINT)"
+    s = word(f"{seed}::HUGEINT + {k}::HUGEINT * 1831565813::HUGEINT")
+    one = word("xor(s, s >> 15) * (s | 1::HUGEINT)")
+    two = word("xor(t, t >> 7) * (t | 61::HUGEINT)")
+    two = f"xor(t, {word('t + ' + two)})"
+    return f"(SELECT CAST(xor(z, z >> 14) AS DOUBLE) / 4294967296.0::DOUBLE FROM (SELECT {two} AS z FROM (SELECT {one} AS t FROM (SELECT {s} AS s))))"
+
+
 _F = [f"CAST(embedding[{i}] AS DOUBLE)" for i in (1, 2, 3)]
 
 #: ord, id, topic, b1..b3, t1..t8: the rows of adapters.charts.
@@ -144,3 +154,38 @@ def hops(sources: str, most: int) -> str:
     return f"""
 walk(source, id, h) AS (SELECT source, source, 0 FROM ({sources}) UNION SELECT walk.source, near.v, walk.h + 1 FROM walk JOIN near ON near.u = walk.id WHERE walk.h < {most}),
 hop AS (SELECT source, id, min(h) AS hops FROM walk GROUP BY source, id)"""
+
+
+def queue(name: str, sources: str, levels: int, near: str, own: str = "") -> str:
+    """CTEs <name> (source, id, hops, rank, parent): the order in which a breadth-first
+    search dequeues nodes, level by level.  near: a table (u, v, pos); own: a table (source, u, v, pos)."""
+    ctes = [f"{name}0 AS (SELECT source, source AS id, 0 AS hops, 1 AS rank, 0 AS parent FROM ({sources}))"]
+    for h in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT source, id, hops, rank, parent FROM {name}{i}" for i in range(h))
+        step = f"SELECT f.source, n.v AS id, f.rank, n.pos FROM {name}{h - 1} f JOIN {near} n ON n.u = f.id"
+        if own:
+            step += f" UNION ALL SELECT f.source, n.v, f.rank, n.pos FROM {name}{h - 1} f JOIN {own} n ON n.u = f.id AND n.source = f.source"
+        ctes.append(f"{name}_s{h} AS (SELECT source, id, min(row(rank, pos)) AS f, min(rank) AS parent FROM ({step}) GROUP BY source, id)")
+        ctes.append(f"{name}_b{h} AS ({seen})")
+        ctes.append(f"{name}{h} AS (SELECT s.source, s.id, {h} AS hops, (SELECT count(*) FROM {name}_b{h} b WHERE b.source = s.source) + row_number() OVER (PARTITION BY s.source ORDER BY s.f) AS rank, s.parent FROM {name}_s{h} s WHERE NOT EXISTS (SELECT 1 FROM {name}_b{h} b WHERE b.source = s.source AND b.id = s.id))")
+    every = " UNION ALL ".join(f"SELECT source, id, hops, rank, parent FROM {name}{i}" for i in range(levels + 1))
+    return ", ".join([*ctes, f"{name} AS ({every})"])
+
+
+def walked(name: str, order: str, want: str, budget: int) -> str:
+    """CTE <name>: evidence walks of targets want (source, id) along a queue."""
+    return f"""
+{name}_t AS (SELECT w.source, count(*) AS targets, count(q.hops) AS reached, coalesce(sum(q.hops), 0) AS s, max(q.parent) AS last FROM {want} w LEFT JOIN {order} q ON q.source = w.source AND q.id = w.id GROUP BY w.source),
+{name} AS (SELECT t.source, {r('reached / targets', 4)} AS coverage, CASE WHEN reached = 0 THEN 0.0 ELSE {r('s / reached', 4)} END AS mean_hops, {r(f'(s + (targets - reached) * {budget + 1}) / targets', 4)} AS effective_hops, CASE WHEN reached = targets THEN last ELSE (SELECT count(*) FROM {order} q WHERE q.source = t.source) END AS expanded, reached, targets FROM {name}_t t)"""
+
+
+def aggregated(walks: str) -> str:
+    """One row over walks: coverage, mean_hops, effective_hops, expanded, reached, targets."""
+    return f"SELECT {r('sum(reached) / sum(targets)', 4)} AS coverage, CASE WHEN sum(reached) = 0 THEN 0.0 ELSE {r('sum(mean_hops * reached) / sum(reached)', 4)} END AS mean_hops, {r('sum(effective_hops) / count(*)', 4)} AS effective_hops, CAST(sum(expanded) AS BIGINT) AS expanded, CAST(sum(reached) AS BIGINT) AS reached, CAST(sum(targets) AS BIGINT) AS targets FROM {walks}"
+
+
+def compared(base: str, bridged: str, queries: str, spent: str) -> str:
+    """The row of compare_traversal."""
+    names = ("coverage", "mean_hops", "effective_hops", "expanded", "reached", "targets")
+    return f"""SELECT {', '.join(f'x.{c} AS base_{c}' for c in names)}, {', '.join(f'y.{c} AS bridged_{c}' for c in names)}, CAST((SELECT count(*) FROM {queries}) AS INTEGER) AS queries,
+    {r('y.coverage - x.coverage', 4)} AS delta_coverage, {r('y.effective_hops - x.effective_hops', 4)} AS delta_effective_hops, y.expanded - x.expanded AS delta_expanded, CAST((SELECT count(*) FROM {spent}) AS INTEGER) AS edges_spent FROM ({aggregated(base)}) x, ({aggregated(bridged)}) y"""

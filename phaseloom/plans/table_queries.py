@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phaseloom.functions import ball as B
 from phaseloom.functions import torus as T
 from phaseloom.functions.ball import rounded
-from phaseloom.operators import bridges, charts, graph, ledger, metrics, recovery
+from phaseloom.operators import bridges, charts, graph, ledger, metrics, proposals, recovery
 from phaseloom.plans import sqltwin as S
 from phaseloom.plans.shared import cut
 from phaseloom.sources import adapters
@@ -19,8 +19,8 @@ from phaseloom.sources import adapters
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: The nodes that queries over all pairs look at, as a parameter of those operators.
-NODES = 96
+#: The operators' own cap of nodes whose pairs are all looked at.
+NODES = charts.PAIR_NODES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -150,51 +150,64 @@ def s4_graph_invariants_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_invariants(adapters.tree_graph(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {S.CHART_GRAPH}, {S.DISTINCT}, {S.COMPONENTS}, {_INVARIANTS} SELECT CAST({_RANK} AS BIGINT) AS chords, CAST(edges - {_RANK} AS BIGINT) AS tree_edges FROM inv")
+#: A chord's ends are connected by edges that come before it.
+_CHORDS = """
+tied(u, v, pos) AS (SELECT a, b, pos FROM uniq UNION ALL SELECT b, a, pos FROM uniq),
+before(k, id) AS (SELECT pos, a FROM uniq UNION SELECT before.k, tied.v FROM before JOIN tied ON tied.u = before.id AND tied.pos < before.k),
+basis AS (SELECT pos, src, dst, a, b, EXISTS (SELECT 1 FROM before WHERE before.k = uniq.pos AND before.id = uniq.b) AS chord FROM uniq)"""
+
+
+@query(f"WITH RECURSIVE {S.CHART_GRAPH}, {S.DISTINCT}, {_CHORDS} SELECT pos, src, dst, chord FROM basis")
 def s5_cycle_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = graph.cycle_basis(adapters.chart_graph(spark, sf_dir))
-    return b.agg(F.coalesce(F.sum(F.col("chord").cast("long")), F.lit(0).cast("long")).alias("chords"), F.coalesce(F.sum((~F.col("chord")).cast("long")), F.lit(0).cast("long")).alias("tree_edges"))
+    return graph.cycle_basis(adapters.chart_graph(spark, sf_dir))
 
 
 def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's keys in order, as walks over the key graph."""
     e = adapters.ledger(spark, sf_dir)
-    return e.select(F.xxhash64("src").alias("walk_id"), F.col("seq").alias("k"), F.col("dst").alias("id"))
+    return e.select(F.substring("src", 2, 20).cast("long").alias("walk_id"), F.col("seq").alias("k"), F.col("dst").alias("id"))
 
 
-@query()
+_CROSSED = f"""{S.KEY_GRAPH}, {S.DISTINCT}, {_CHORDS},
+numbered AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS chord_number FROM basis WHERE chord),
+moves AS (SELECT CAST(substr(src, 2) AS BIGINT) AS walk_id, lag(dst) OVER (PARTITION BY src ORDER BY seq) AS was, dst AS id FROM ledger),
+crossed AS (SELECT walk_id, chord_number AS chord, CAST(sum(CASE WHEN was = n.src THEN 1 ELSE -1 END) AS BIGINT) AS crossings FROM moves m JOIN numbered n ON n.a = least(was, id) AND n.b = greatest(was, id) WHERE was IS NOT NULL GROUP BY walk_id, chord_number)"""
+
+
+@query(f"WITH RECURSIVE {_CROSSED} SELECT walk_id, chord, crossings FROM crossed")
 def s6_homology_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis = cut(graph.cycle_basis(adapters.key_graph(spark, sf_dir)))
     return graph.homology(_walks(spark, sf_dir), basis)
 
 
-@query()
+@query(f"WITH RECURSIVE {_CROSSED}, two AS (SELECT DISTINCT walk_id FROM crossed ORDER BY walk_id LIMIT 2), sides AS (SELECT chord, sum(CASE WHEN walk_id = (SELECT min(walk_id) FROM two) THEN crossings ELSE 0 END) AS x, sum(CASE WHEN walk_id = (SELECT max(walk_id) FROM two) THEN crossings ELSE 0 END) AS y FROM crossed WHERE walk_id IN (SELECT walk_id FROM two) GROUP BY chord) SELECT count(CASE WHEN x <> y THEN 1 END) = 0 AS same FROM sides")
 def s7_same_recurrence_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two walks that cross a chord; walks that cross none are alike."""
     h = cut(s6_homology_class(spark, sf_dir))
-    ids = [r[0] for r in h.select("walk_id").distinct().orderBy("walk_id").limit(2).collect()]
+    ids = [r[0] for r in h.select("walk_id").distinct().orderBy("walk_id").limit(2).collect()] or [0]
     return graph.same_recurrence_class(h, ids[0], ids[-1])
 
 
-@query(f"WITH RECURSIVE {S.TREE_GRAPH.replace('edges AS', 'tree AS')}, extra AS (SELECT 5000 + a.s_suppkey AS pos, 's' || CAST(a.s_suppkey AS VARCHAR) AS src, 's' || CAST(b.s_suppkey AS VARCHAR) AS dst FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 9 = 0 AND a.s_suppkey < 60), edges AS (SELECT * FROM tree UNION ALL SELECT * FROM extra), {S.DISTINCT}, "
+@query(f"WITH RECURSIVE {S.CHART_GRAPH}, {S.DISTINCT}, "
        "cutoff(k, id) AS (SELECT a || ' ' || b, a FROM uniq UNION SELECT cutoff.k, near.v FROM cutoff JOIN near ON near.u = cutoff.id WHERE cutoff.k <> least(near.u, near.v) || ' ' || greatest(near.u, near.v)) "
        "SELECT a, b FROM uniq WHERE EXISTS (SELECT 1 FROM cutoff WHERE cutoff.k = a || ' ' || b AND cutoff.id = b)")
 def s8_non_bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supply forest with a few suppliers tied to the next: removal of an edge on
-    a cycle leaves its ends connected."""
-    s = adapters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    nxt = s.select((F.col("k") - 1).alias("k"))
-    extra = s.join(nxt, "k", "left_semi").filter("k % 9 = 0 and k < 60").select((F.col("k") + 5000).cast("long").alias("pos"), F.concat(F.lit("s"), "k").alias("src"), F.concat(F.lit("s"), F.col("k") + 1).alias("dst"))
-    return graph.non_bridge_edges(adapters.tree_graph(spark, sf_dir).unionByName(extra))
+    """Removal of an edge on a cycle leaves its ends connected."""
+    return graph.non_bridge_edges(adapters.chart_graph(spark, sf_dir))
+
 
+#: Searches from nodes ask for those whose number is divisible by 100.
+_ASKED = "SELECT id AS source FROM nodes WHERE CAST(substr(id, 2) AS BIGINT) % 100 = 0"
 
-_FIRST = "SELECT id AS source FROM nodes ORDER BY id LIMIT 24"
 
+def _asked(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(F.substring("id", 2, 20).cast("long") % 100 == 0).select(F.col("id").alias("source"))
 
-@query(f"WITH RECURSIVE {S.CHART_GRAPH}, {S.DISTINCT}, {S.hops(_FIRST, 40)} SELECT source, id, hops FROM hop")
+
+@query(f"WITH RECURSIVE {S.CHART_GRAPH}, {S.DISTINCT}, {S.hops(_ASKED, 40)} SELECT source, id, hops FROM hop")
 def s9_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.chart_graph(spark, sf_dir)
-    src = graph.node_set(e).orderBy("id").limit(24).withColumnRenamed("id", "source")
-    return graph.hops(e, src)
+    return graph.hops(e, _asked(graph.node_set(e)))
 
 
 _DELTA = S.hops("SELECT id AS source FROM nodes ORDER BY id LIMIT 32", 40) + """,
@@ -368,15 +381,15 @@ def b5_bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridges.bridge_edges(adapters.charts(spark, sf_dir), adapters.chart_graph(spark, sf_dir), max_nodes=NODES)
 
 
-_SOURCES = "SELECT id AS source FROM charts ORDER BY id LIMIT 12"
+_SOURCES = "SELECT id AS source FROM charts WHERE ord % 100 = 0"
 _QUERY = S.CHARTS + f""", {S.CHART_GRAPH}, {S.DISTINCT}, {S.hops(_SOURCES, _HOPS)},
 cand AS (SELECT x.id AS a, y.id AS b, {_GEO} AS geo, {S.regulator(S.resonance(_A, _C))} AS fold, coalesce(hops, -1) AS hops, (SELECT count(*) FROM charts) AS total
     FROM charts x JOIN charts y ON x.id <> y.id LEFT JOIN hop ON hop.source = x.id AND hop.id = y.id WHERE x.id IN ({_SOURCES}) AND coalesce(hops, 99) >= 3),
 placed AS (SELECT *, CASE WHEN hops = -1 THEN total ELSE hops END - 1 AS gain, row_number() OVER (PARTITION BY a ORDER BY geo, b) AS place FROM cand)"""
 
 
-def _sources(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
-    return adapters.charts(spark, sf_dir).select(F.col("id").alias("source")).orderBy("source").limit(n)
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.charts(spark, sf_dir).filter("ord % 100 = 0").select(F.col("id").alias("source"))
 
 
 @query(f"WITH RECURSIVE {_QUERY} SELECT a, b, {S.r('geo', 4)} AS geo, hops, CAST(gain AS BIGINT) AS gain, fold, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 6")
@@ -386,7 +399,7 @@ def b6_query_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b6_query_bridges_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridges.query_bridges(adapters.charts(spark, sf_dir), adapters.chart_graph(spark, sf_dir), _sources(spark, sf_dir, 4), count=4, diversify=True)
+    return bridges.query_bridges(adapters.charts(spark, sf_dir), adapters.chart_graph(spark, sf_dir), _sources(spark, sf_dir), diversify=True)
 
 
 @query(f"WITH {S.CHARTS}, p AS (SELECT x.id AS a, y.id AS b, {S.distance(_U, _V)} AS ball, {S.torus_distance(_A, _C, True)} AS torus, {S.regulator(S.resonance(_A, _C))} AS fold FROM charts x JOIN charts y ON y.ord = x.ord + 1) "
@@ -404,10 +417,10 @@ def b1_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(adapters.chart_graph(spark, sf_dir)).groupBy("u").agg(F.count(F.lit(1)).alias("degree"), F.min("v").alias("first"))
 
 
-@query(f"WITH RECURSIVE {S.TREE_GRAPH}, {S.DISTINCT}, {S.hops(_FIRST, 12)} SELECT source, id, hops FROM hop")
+@query(f"WITH RECURSIVE {S.TREE_GRAPH}, {S.DISTINCT}, {S.hops(_ASKED, 12)} SELECT source, id, hops FROM hop")
 def b2_hops_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.tree_graph(spark, sf_dir)
-    return graph.hops(e, graph.node_set(e).orderBy("id").limit(24).withColumnRenamed("id", "source"))
+    return graph.hops(e, _asked(graph.node_set(e)))
 
 
 def _stride(rows: str, most: int) -> str:
@@ -435,7 +448,11 @@ def m1_evidence_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evidence_walks(adapters.chart_graph(spark, sf_dir), q).drop("expanded")
 
 
-@query()
+_NEAR_BY = "near_by AS (SELECT u, v, min(pos) AS pos FROM (SELECT src AS u, dst AS v, pos FROM edges WHERE src <> dst UNION ALL SELECT dst, src, pos FROM edges WHERE src <> dst) GROUP BY u, v)"
+_PLAIN = f"{_EVIDENCE}, {S.CHART_GRAPH}, {_NEAR_BY}, {S.queue('q', 'SELECT id AS source FROM src', 6, 'near_by')}, {S.walked('plain', 'q', 'want', 6)}"
+
+
+@query(f"WITH {_PLAIN} SELECT source, expanded FROM plain")
 def m1_evidence_walk_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = cut(metrics.evidence_queries(adapters.charts(spark, sf_dir)))
     return metrics.evidence_walks(adapters.chart_graph(spark, sf_dir), q).select("source", "expanded")
@@ -447,18 +464,26 @@ def m3_aggregate_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aggregate_walks(metrics.evidence_walks(adapters.chart_graph(spark, sf_dir), q)).drop("expanded")
 
 
-@query()
+_BEST = _BRIDGE.replace(S.CHARTS + ", " + S.CHART_GRAPH + ", ", "") + ", best AS (SELECT a, b, row_number() OVER (ORDER BY gain / (1e-9 + geo) DESC, a, b) AS n FROM ranked QUALIFY n <= 8)"
+_FAR = 1 << 50
+
+
+@query(f"WITH RECURSIVE {_PLAIN}, {_BEST}, more AS (SELECT u, v, min(pos) AS pos FROM (SELECT * FROM near_by UNION ALL SELECT a, b, n + {_FAR} FROM best UNION ALL SELECT b, a, n + {_FAR} FROM best) GROUP BY u, v), {S.queue('z', 'SELECT id AS source FROM src', 6, 'more')}, {S.walked('bridged', 'z', 'want', 6)} {S.compared('plain', 'bridged', 'plain', 'best')}")
 def m4_compare_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, e = adapters.charts(spark, sf_dir), adapters.chart_graph(spark, sf_dir)
-    b = cut(bridges.bridge_edges(points, e, max_nodes=NODES).select(F.monotonically_increasing_id().alias("pos"), "a", "b"))
-    return metrics.compare_traversal(e, cut(metrics.evidence_queries(points, max_queries=8)), bridges=b)
+    order = Window.orderBy(F.desc(F.col("gain") / (1e-9 + F.col("geo"))), "a", "b")  # of the few bridges found
+    b = cut(bridges.bridge_edges(points, e).withColumn("pos", F.row_number().over(order).cast("long")).select("pos", "a", "b"))
+    return metrics.compare_traversal(e, cut(metrics.evidence_queries(points)), bridges=b)
 
 
-@query()
+_OWN = _QUERY.replace(S.CHARTS + ", " + S.CHART_GRAPH + ", ", "").replace(_SOURCES, "SELECT id AS source FROM src")
+
+
+@query(f"WITH RECURSIVE {_PLAIN}, {_OWN}, mine AS (SELECT a AS source, a AS u, b AS v, place + {_FAR} AS pos FROM placed WHERE place <= 6), both_ways AS (SELECT * FROM mine UNION ALL SELECT source, v, u, pos FROM mine), {S.queue('z', 'SELECT id AS source FROM src', 6, 'near_by', 'both_ways')}, {S.walked('bridged', 'z', 'want', 6)} {S.compared('plain', 'bridged', 'plain', 'mine')}")
 def m5_compare_traversal_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, e = adapters.charts(spark, sf_dir), adapters.chart_graph(spark, sf_dir)
-    q = cut(metrics.evidence_queries(points, max_queries=8))
-    own = cut(metrics.own_bridges(bridges.query_bridges(points, e, q.select("source"), count=3)))
+    q = cut(metrics.evidence_queries(points))
+    own = cut(metrics.own_bridges(bridges.query_bridges(points, e, q.select("source"))))
     return metrics.compare_traversal(e, q, own=own)
 
 
@@ -479,7 +504,7 @@ def m6_contradiction_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m7_bridge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bridge_report(adapters.charts(spark, sf_dir), _typed_graph(spark, sf_dir), max_queries=4, count=2)
+    return metrics.bridge_report(adapters.charts(spark, sf_dir), _typed_graph(spark, sf_dir))
 
 
 @query(f"WITH {S.CHARTS}, src AS ({_stride('charts', 24)}), m AS (SELECT x.id AS source, y.id, row_number() OVER (PARTITION BY x.id ORDER BY y.id) AS n FROM charts x JOIN charts y ON y.topic = x.topic AND y.id <> x.id WHERE x.id IN (SELECT id FROM src)) SELECT source, string_agg(id, ' ' ORDER BY id) AS targets FROM m WHERE n <= 64 GROUP BY source")
@@ -492,46 +517,36 @@ def n4_adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.linked(adapters.key_graph(spark, sf_dir)).select(*ledger.pair("src", "dst")).distinct()
 
 
-def _degrees(edges: DataFrame) -> DataFrame:
-    e = edges.filter("src <> dst")
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-
-
 _HUBS = S.CHART_GRAPH + f""", {S.DISTINCT},
 deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges WHERE src <> dst UNION ALL SELECT dst FROM edges WHERE src <> dst) GROUP BY id),
 rank AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) AS n FROM deg)"""
 
 
-@query(f"WITH {_HUBS}, p AS (SELECT x.id AS a, y.id AS b, x.n AS i, y.n AS j FROM rank x JOIN rank y ON x.n < y.n AND y.n <= 64 WHERE NOT EXISTS (SELECT 1 FROM near WHERE u = x.id AND v = y.id)) SELECT a, b FROM p ORDER BY i, j LIMIT 8")
-def n6_hub_bridges(spark: SparkSession, sf_dir: str, count: int = 8) -> DataFrame:
-    """The first pairs, by rank of degree, that aren't adjacent.  A node has at most
-    degree + count partners to try, so the top ranks hold the answer."""
-    e = adapters.chart_graph(spark, sf_dir)
-    top = _degrees(e).orderBy(F.desc("degree"), "id").limit(64)
-    r = cut(top.withColumn("n", F.row_number().over(Window.orderBy(F.desc("degree"), "id"))))
-    near = graph.adjacency(e)
-    p = r.select(F.col("id").alias("u"), F.col("n").alias("i")).join(F.broadcast(r.select(F.col("id").alias("v"), F.col("n").alias("j"))), F.col("i") < F.col("j"))
-    return p.join(near, ["u", "v"], "left_anti").orderBy("i", "j").limit(count).select(F.col("u").alias("a"), F.col("v").alias("b"))
+_HUB_PAIRS = f"{_HUBS}, p AS (SELECT x.id AS a, y.id AS b, x.n AS i, y.n AS j FROM rank x JOIN rank y ON x.n < y.n WHERE NOT EXISTS (SELECT 1 FROM near WHERE u = x.id AND v = y.id)), hub AS (SELECT a, b, row_number() OVER (ORDER BY i, j) AS place FROM p QUALIFY place <= 8)"
+
+
+@query(f"WITH {_HUB_PAIRS} SELECT a, b FROM hub")
+def n6_hub_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proposals.hub_bridges(adapters.chart_graph(spark, sf_dir), 8).select("a", "b")
 
 
-@query(f"WITH {_HUBS}, src AS (SELECT id AS source FROM nodes ORDER BY id LIMIT 12), p AS (SELECT source AS a, id AS b, row_number() OVER (PARTITION BY source ORDER BY n) AS place FROM src JOIN rank ON id <> source WHERE NOT EXISTS (SELECT 1 FROM near WHERE u = source AND v = id)) SELECT a, b, CAST(place AS INTEGER) AS place FROM p WHERE place <= 3")
-def n10_hub_query_bridges(spark: SparkSession, sf_dir: str, count: int = 3) -> DataFrame:
+@query(f"WITH {_HUBS}, src AS ({_ASKED}), p AS (SELECT source AS a, id AS b, row_number() OVER (PARTITION BY source ORDER BY n) AS place FROM src JOIN rank ON id <> source WHERE NOT EXISTS (SELECT 1 FROM near WHERE u = source AND v = id)) SELECT a, b, CAST(place AS INTEGER) AS place FROM p WHERE place <= 3")
+def n10_hub_query_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.chart_graph(spark, sf_dir)
-    src = graph.node_set(e).orderBy("id").limit(12).select(F.col("id").alias("u"))
-    near = graph.adjacency(e)
-    p = _degrees(e).select(F.col("id").alias("v"), "degree").join(F.broadcast(src), F.col("u") != F.col("v")).join(near, ["u", "v"], "left_anti")
-    own = Window.partitionBy("u").orderBy(F.desc("degree"), "v")
-    return p.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= count).select(F.col("u").alias("a"), F.col("v").alias("b"), "place")
+    return proposals.hub_query_bridges(_asked(graph.node_set(e)), e, 3)
 
 
-@query()
+_TRUTH = f"src AS ({_stride('charts', 24)}), want AS (SELECT source, id FROM (SELECT x.id AS source, y.id, row_number() OVER (PARTITION BY x.id ORDER BY y.id) AS n FROM charts x JOIN charts y ON y.topic = x.topic AND y.id <> x.id WHERE x.id IN (SELECT id FROM src)) WHERE n <= 64)"
+_ARM_SOURCES = "SELECT DISTINCT source FROM want"
+
+
+@query(f"WITH {S.CHARTS}, {_TRUTH}, {_HUB_PAIRS}, {_NEAR_BY}, {S.queue('q', _ARM_SOURCES, 4, 'near_by')}, {S.walked('plain', 'q', 'want', 4)}, more AS (SELECT u, v, min(pos) AS pos FROM (SELECT * FROM near_by UNION ALL SELECT a, b, place + {_FAR} FROM hub UNION ALL SELECT b, a, place + {_FAR} FROM hub) GROUP BY u, v), {S.queue('z', _ARM_SOURCES, 4, 'more')}, {S.walked('bridged', 'z', 'want', 4)} SELECT *, 'baseline' AS arm FROM ({S.aggregated('plain')}) UNION ALL SELECT *, 'hub' FROM ({S.aggregated('bridged')})")
 def n7_run_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, e = adapters.charts(spark, sf_dir), adapters.chart_graph(spark, sf_dir)
-    q = cut(metrics.ground_truth_queries(points.select("id", "topic"), max_queries=8))
-    hub = cut(n6_hub_bridges(spark, sf_dir).select(F.monotonically_increasing_id().alias("pos"), "a", "b"))
-    arms = {"baseline": None, "hub": hub}
+    q = cut(metrics.ground_truth_queries(points.select("id", "topic")))
+    hub = cut(proposals.hub_bridges(e, 8).select(F.col("place").cast("long").alias("pos"), "a", "b"))
     rows = None
-    for name, extra in arms.items():
+    for name, extra in (("baseline", None), ("hub", hub)):
         r = metrics.aggregate_walks(metrics.evidence_walks(e, q, 4, extra)).withColumn("arm", F.lit(name))
         rows = r if rows is None else rows.unionByName(r)
     return rows
@@ -549,22 +564,8 @@ def o3_score_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     future = cut(ledger.future_links(train, test))
     ends = cut(future.select(F.col("a").alias("source"), F.col("b").alias("other")).union(future.select("b", "a")).distinct())
     src = cut(metrics.strided(ends.select(F.col("source").alias("id")).distinct(), 64))
-    near = graph.adjacency(train)
-    p = _degrees(train).select(F.col("id").alias("v"), "degree").join(F.broadcast(src.select(F.col("id").alias("u"))), F.col("u") != F.col("v")).join(near, ["u", "v"], "left_anti")
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("degree"), "v"))).filter("n <= 6").select(F.col("u").alias("source"), F.col("v").alias("other"))
-    return score_arm(p, ends, src)
-
-
-def score_arm(proposals: DataFrame, ends: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row: sources, proposed, hits, precision, recall, available.  proposals and
-    ends: source, other; sources: id."""
-    one = F.lit(1).cast("long")
-    key = F.concat_ws(" ", F.least("source", "other"), F.greatest("source", "other"))
-    open_ = ends.join(sources.withColumnRenamed("id", "source"), "source", "left_semi").select(key.alias("k")).distinct().agg(F.count(F.lit(1)).alias("available"))
-    hit = proposals.join(ends.withColumn("hit", F.lit(True)), ["source", "other"], "left")
-    s = hit.agg(F.count(F.lit(1)).alias("proposed"), F.count("hit").alias("hits"), F.count_distinct(F.when(F.col("hit"), key)).alias("found"))
-    s = s.crossJoin(open_).crossJoin(sources.agg(F.count(F.lit(1)).alias("sources")))
-    return s.select("sources", "proposed", "hits", rounded(F.col("hits") / F.greatest(one, "proposed"), 4).alias("precision"), rounded(F.col("found") / F.greatest(one, "available"), 4).alias("recall"), "available")
+    p = proposals.hub_query_bridges(src.withColumnRenamed("id", "source"), train, 6).select(F.col("a").alias("source"), F.col("b").alias("other"))
+    return metrics.score_arm(p, ends, src)
 
 
 @query(f"WITH {S.CHARTS}, ids AS (SELECT * FROM charts ORDER BY id LIMIT 200), p AS (SELECT {S.resonance(_A, _C)} AS res FROM ids x JOIN ids y ON x.id < y.id) SELECT {S.r('avg(CASE WHEN res >= 0.5 THEN 1.0 ELSE 0.0 END)', 4)} AS observed_high FROM p")
