@@ -28,8 +28,8 @@ FAN_IN, BINS, LOW, HIGH = 16, 512, -0.5, 1.5
 ORDER_SHARE = 0.01
 #: Folds are crc32(doc_id as text) mod 4: two fit the ridge, one calibrates, one is held out.
 FIT_FOLDS, CALIBRATION_FOLD, HELD_OUT_FOLD = (0, 1), 3, 2
-CHUNK_BYTES = 1 << 20
-SCORED_ROWS = 512
+CHUNK_BYTES = 1 << 18
+SCORED_ROWS = 128
 
 _CLASS = np.full(256, 6, np.uint8)  # other ASCII
 _CLASS[np.arange(128, 256)] = 0
