@@ -670,6 +670,41 @@ def test_quality(spark, empty):
     assert quality.isotonic(np.ones(4), np.array([0.0, 1, 0, 1])).tolist() == [0, 0.5, 0.5, 1]
 
 
+def test_quality_against_a_direct_fit(spark):
+    """The same features, with the normal equations solved at once and isotonic levels as
+    the greatest of the least means over all spans of bins."""
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    texts = {i: words(rng, rng.randrange(5, 80), 300) if rng.random() < 0.6 else " | ".join(words(rng, rng.randrange(5, 60)).upper().split()) for i in range(600)}
+    y = {i: int(t.islower() != (rng.random() < 0.15)) for i, t in texts.items()}
+    x = quality.statistics(pa.array(list(texts.values()), pa.large_string()))
+    part = np.array([zlib.crc32(str(i).encode()) % 4 for i in texts])
+    label = np.array(list(y.values()), float)
+    fit = (part == 0) | (part == 1)
+    mean, scale = x[fit].mean(0), x[fit].std(0)
+    draw = np.random.default_rng(quality.SEED)
+    w, phase = draw.normal(0, 1 / quality.WIDTH, (x.shape[1], quality.COMPONENTS)), draw.uniform(0, 2 * np.pi, quality.COMPONENTS)
+    z = np.cos(np.clip((x - mean) / np.where(scale > 1e-9, scale, 1), -8, 8) @ w + phase) * np.sqrt(2 / quality.COMPONENTS)
+    z = np.column_stack((z, np.ones(len(z))))
+    root = np.sqrt(np.append(np.full(quality.COMPONENTS, quality.RIDGE * fit.sum()), 1e-9))
+    beta = np.linalg.lstsq(np.vstack((z[fit], np.diag(root))), np.append(label[fit], np.zeros(len(root))), rcond=None)[0]
+    raw = z @ beta
+    bins = np.clip((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    held = sorted(set(bins[part == 3].tolist()))
+    n, good = (np.array([v[(part == 3) & (bins == b)].sum() for b in held], float) for v in (np.ones(len(label)), label))
+    span = lambda a, b: good[a : b + 1].sum() / n[a : b + 1].sum()
+    levels = [max(min(span(a, b) for b in range(i, len(held))) for a in range(i + 1)) for i in range(len(held))]
+    knots = quality.LOW + (np.array(held) + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS
+    order = np.clip((raw - quality.LOW) / (quality.HIGH - quality.LOW), 0, 1)
+    want = (1 - quality.ORDER_SHARE) * np.interp(raw, knots, levels) + quality.ORDER_SHARE * order
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.scored(spark, d, labels).collect()}
+    off = np.abs(np.array([got[i] for i in texts]) - want)
+    assert (off < 1e-4).mean() > 0.98 and np.median(off) < 1e-6  # a row at the border of two bins may fall on either side
+
+
 def test_quality_sums_in_levels(spark, monkeypatch):
     monkeypatch.setattr(quality, "FAN_IN", 2)
     d = spark.range(0, 100, 1, 9).selectExpr("cast(id as double) as v")
