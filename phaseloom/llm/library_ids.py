@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from phaseloom.llm.pretokens import WORDS_PATTERN, PretokenEncoder
+from phaseloom.llm.pretokens import WORDS_PATTERN, PretokenEncoder, runs
 
 SPAN = 4000  # pre-tokens handed to the library as one text
 
@@ -26,6 +26,11 @@ def _load(path: str) -> Tokenizer:
     return t
 
 
+def _ids_of(t: Tokenizer, text: str) -> np.ndarray:
+    """Ids alone: the fast call keeps no offsets."""
+    return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+
 def _counts(ends: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(ends)
     return np.diff(np.concatenate(([-1], at)))
@@ -34,27 +39,32 @@ def _counts(ends: np.ndarray) -> np.ndarray:
 @functools.cache
 def _byte_encoder(path: str) -> PretokenEncoder:
     t = _load(path)
-    newline = t.encode("\n", add_special_tokens=False).ids
-    (newline,) = newline
+    (newline,) = _ids_of(t, "\n")
 
     def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words = [p.decode("utf-8", "surrogatepass") for p in parts]
-        runs: list[np.ndarray | None] = [None] * len(words)
         plain = [i for i, w in enumerate(words) if not w.isspace() and "\n" not in w]
+        single = [i for i, w in enumerate(words) if w.isspace() or "\n" in w]
+        order, flat, sizes = [], [], []
         for k in range(0, len(plain), SPAN):  # a line each: nothing joins across a line's end
             chosen = plain[k : k + SPAN]
-            ids = np.array(t.encode("".join(words[i] + "\n" for i in chosen), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == newline)
-            if len(cut) != len(chosen):  # not expected: one by one then
-                for i in chosen:
-                    runs[i] = np.array(t.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            ids = _ids_of(t, "".join([words[i] + "\n" for i in chosen]))
+            ends = ids == newline
+            counts = _counts(ends) - 1
+            if len(counts) != len(chosen) or not ends[-1]:  # not expected: one by one then
+                single += chosen
                 continue
-            for i, a, b in zip(chosen, [0, *(cut[:-1] + 1).tolist()], cut.tolist(), strict=True):
-                runs[i] = ids[a:b]
-        for i, r in enumerate(runs):
-            if r is None:
-                runs[i] = np.array(t.encode(words[i], add_special_tokens=False).ids, np.uint32)
-        return np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs))
+            order += chosen
+            flat.append(ids[~ends])
+            sizes.append(counts)
+        for i in single:
+            flat.append(_ids_of(t, words[i]))
+            sizes.append(np.array([len(flat[-1])], np.int64))
+        ids, counts = np.concatenate(flat), np.concatenate(sizes)
+        if not single:
+            return ids, counts
+        back = np.argsort(np.array(order + single))  # to the order of parts
+        return ids[runs((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
 
     return PretokenEncoder("spaced", public_tokenizers.PATTERN, encode)
 
@@ -71,11 +81,11 @@ def _word_encoder(path: str) -> tuple[Tokenizer, PretokenEncoder]:
         ids_all, counts_all = [], []
         for k in range(0, len(words), SPAN):
             chosen = words[k : k + SPAN]
-            ids = np.array(t.encode(" ".join(chosen), add_special_tokens=False).ids, np.uint32)
+            ids = _ids_of(t, " ".join(chosen))
             counts = _counts(closes[ids])
             if len(counts) != len(chosen) or counts.sum() != len(ids):  # not expected: one by one then
-                each = [t.encode(w, add_special_tokens=False).ids for w in chosen]
-                ids, counts = np.array([i for e in each for i in e], np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+                each = [_ids_of(t, w) for w in chosen]
+                ids, counts = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
             ids_all.append(ids)
             counts_all.append(counts)
         return np.concatenate(ids_all), np.concatenate(counts_all)
@@ -100,4 +110,4 @@ def word_ids(path: str, texts: list[str]) -> Iterator[np.ndarray]:
     odd = {i for i, x in enumerate(texts) if "Σ" in x}
     ready = ["" if i in odd else x.lower() if x.isascii() else unicodedata.normalize("NFC", x).lower() for i, x in enumerate(texts)]
     for i, ids in encoder.batch(ready):
-        yield np.array(t.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in odd else ids
+        yield _ids_of(t, texts[i]) if i in odd else ids
