@@ -198,14 +198,18 @@ def _best(pairs: DataFrame, most: int) -> DataFrame:
 def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, best: int | None) -> DataFrame:
     """(node, other, alike): pairs of one bucket that are in different components
     and may be alike by their sizes and long signatures.  node is outside the
-    component that the bucket's first centre is in; other is any.  With ``best``,
-    the most similar ones of each node and block."""
-    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mains = known.filter(F.col("node") == F.col("centres")[0]).select("bucket", F.col("component").alias("main"))
-    marked = known.join(mains, "bucket").withColumn("out", F.col("component") != F.col("main"))
-    open_ = marked.groupBy("bucket").agg(F.sum(F.col("out").cast("long")).alias("n_out")).filter("n_out > 0")
+    component that most of the bucket is in; other is any.  With ``best``, the most
+    similar ones of each node and block."""
+    known = members.join(labels, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
+    held = known.groupBy("bucket", "n", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = F.max_by("component", F.struct("rows", "component")).alias("main")
+    open_ = held.groupBy("bucket", "n").agg(main, (F.sum("rows") - F.max("rows")).alias("n_out")).filter("n_out > 0")
+    # A bucket's rows are dealt out in parts of about BLOCK, each of which meets the bucket's own row.
+    parts = F.ceil(F.col("n") / BLOCK)
+    spread = open_.select("bucket", "main", "n_out", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+    marked = known.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), parts)).join(spread, ["bucket", "salt"]).drop("salt").withColumn("out", F.col("component") != F.col("main"))
     own = F.collect_set("bucket").over(Window.partitionBy("node"))  # BANDS buckets at most
-    rows = marked.join(open_, "bucket").withColumn("own", own).join(texts.select("node", "size", "long"), "node")
+    rows = marked.withColumn("own", own).join(texts.select("node", "size", "long"), "node")
     n_all, n_out = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_out") / BLOCK)
     mine = F.pmod(F.xxhash64("node", F.lit(5)), n_all)
     mine_out = F.pmod(F.xxhash64("node", F.lit(6)), n_out)
