@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from phaseloom.llm.common import text_or_empty
+from phaseloom.llm.common import released, text_or_empty
 from phaseloom.llm.mph import PerfectHash
 from phaseloom.llm.pretokens import PretokenEncoder, equal_spans, hash_spans, padded
 
@@ -100,6 +100,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text.  Null and empty texts give
     an empty array; repeated rows give repeated rows; other columns go."""
 
+    @released
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
@@ -117,6 +118,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     any length are cut at pre-token boundaries only, to bound memory.
     """
 
+    @released
     def run(batches):
         c = codec(path, pattern)
         for b in batches:

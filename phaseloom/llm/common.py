@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +62,7 @@ def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch: a Python worker holds a batch or two of whole texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def text_or_empty(df: DataFrame, name: str = "text") -> Column:
@@ -79,3 +82,21 @@ def utf8_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     raw = raw[off[0] : off[-1]]
     return raw, off - off[0]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, and then the memory that it has freed goes back to the system: a worker
+    stays for the tasks of later stages, and idle ones count in an executor's memory."""
+
+    @functools.wraps(run)
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return whole

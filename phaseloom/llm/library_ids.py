@@ -8,6 +8,7 @@ byte-level vocabularies without normaliser, ``word_ids`` for word_bpe_49k.
 from __future__ import annotations
 
 import functools
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ SPAN = 4000  # pre-tokens handed to the library as one text
 
 
 def _load(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads cost memory
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     return t

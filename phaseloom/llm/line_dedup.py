@@ -32,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import stored, text_or_empty
+from phaseloom.llm.common import released, stored, text_or_empty
 
+#: Keys of an Arrow batch, about.
+KEY_ROWS = 10_000
 #: Words of a common block at least; of one that isn't in order; rows of a key that pairs all with all.
 LEAST_WORDS, MOVED_WORDS, RARE = 8, 30, 8
 
@@ -138,6 +140,7 @@ def key_rows(docs: DataFrame, least_words: int) -> DataFrame:
         kinds = (("key", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("words", pa.list_(pa.int32())), ("once", pa.bool_()))
         return pa.RecordBatch.from_arrays([*(pa.array(cols[n], t) for n, t in kinds), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["key", "hash", "place", "words", "once", "h1", "h2"])
 
+    @released
     def run(batches):
         cols, digest = defaultdict(list), []
         for b in batches:
@@ -152,7 +155,7 @@ def key_rows(docs: DataFrame, least_words: int) -> DataFrame:
                     seen[x] += 1
                     for name, v in (("key", key), ("hash", th), ("place", i), ("words", sizes[i:j]), ("once", times[x] == 1)):
                         cols[name].append(v)
-                if len(digest) > 50_000:
+                if len(digest) > KEY_ROWS:
                     yield rows(cols, digest)
                     cols, digest = defaultdict(list), []
         yield rows(cols, digest)

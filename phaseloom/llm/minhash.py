@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import stored, text_or_empty, utf8_of
+from phaseloom.llm.common import released, stored, text_or_empty, utf8_of
 from phaseloom.llm.graph import components
 from phaseloom.llm.mph import mix
 from phaseloom.llm.pretokens import hash_spans
@@ -112,6 +112,7 @@ def _sign(texts: pa.Array):
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash and sig array<int> of every whole text."""
 
+    @released
     def run(batches):
         for b in batches:
             n, digest, sig = [], [], []
@@ -138,6 +139,7 @@ def _long_signature(s: np.ndarray) -> bytes:
 def with_long_signature(texts: DataFrame) -> DataFrame:
     """(node, text) with size, the number of shingles, and long, LONG's bytes."""
 
+    @released
     def run(batches):
         for b in batches:
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
@@ -170,6 +172,7 @@ def _buckets(spark: SparkSession, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), the pairs whose full sets are alike."""
 
+    @released
     def run(batches):
         last, held = None, None
         for t in batches:

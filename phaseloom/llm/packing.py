@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from phaseloom.llm.common import text_or_empty
+from phaseloom.llm.common import released, text_or_empty
 from phaseloom.llm.library_ids import word_ids
 
 Piece = tuple[int | None, int, np.ndarray, int]  # doc_id, start, ids, tokens of the document
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = 4096, max_op
     gives the same pieces.
     """
 
+    @released
     def run(batches):
         packer = SumOfSquares(window, max_open)
         base = TaskContext.get().partitionId() << 36

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import stored, text_or_empty, utf8_of
+from phaseloom.llm.common import released, stored, text_or_empty, utf8_of
 from phaseloom.llm.pretokens import hash_spans
 
 COMPONENTS, RIDGE, WIDTH, SEED = 256, 1e-4, 4.0, 11
@@ -124,6 +124,7 @@ class Model:
 def _sums(spark: SparkSession, df: DataFrame, part, width: int) -> np.ndarray | None:
     """The sum over df's Arrow batches of part(batch), vectors of the given width."""
 
+    @released
     def first(batches):
         total = np.zeros(width)
         for b in batches:
@@ -170,6 +171,7 @@ def fold(doc_id: Column) -> Column:
 def statistics_table(docs: DataFrame) -> DataFrame:
     """doc_id, x array<double> for every row."""
 
+    @released
     def run(batches):
         for b in batches:
             x = statistics(b.column("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.bpe import codec
-from phaseloom.llm.common import text_or_empty, utf8_of
+from phaseloom.llm.common import released, text_or_empty, utf8_of
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -192,6 +192,7 @@ def find_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_vocabulary()
 
+    @released
     def run(batches):
         vocabulary = codec(path, public_tokenizers.PATTERN)
         for b in batches:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import fresh_path, text_or_empty
+from phaseloom.llm.common import fresh_path, released, text_or_empty
 from phaseloom.llm.library_ids import byte_ids, vocabulary_size
 from phaseloom.llm.mph import PerfectHash, fingerprint, mix
 
@@ -162,6 +162,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
     bytes as the vocabulary's greatest id and end_id need."""
     id_bytes = 2 if max(vocabulary_size(path), end_id + 1) <= 1 << 16 else 4
 
+    @released
     def run(batches):
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}.ids"
@@ -187,6 +188,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
     shards: uri and base, the ids of all shards before."""
 
+    @released
     def run(batches):
         for b in batches:
             for uri, base in zip(b.column("uri").to_pylist(), b.column("base").to_pylist(), strict=True):
