@@ -366,3 +366,25 @@ def test_walks_that_reach_nothing_are_summed_up_as_in_sql(spark, tmp_path):
         want = c.execute(table_queries.ORACLE_SQL["m3_aggregate_walks"]).fetchall()
     assert got.columns == ["coverage", "mean_hops", "effective_hops", "reached", "targets"]
     assert [tuple(map(str, r)) for r in got.collect()] == [tuple(map(str, r)) for r in want] == [("0.0", "nan", "7.0", "0", "32")]
+
+
+def test_bridges_search_hops_for_the_chosen_pairs_alone(spark, edges, monkeypatch):
+    """No search without a bound, and the same hops as that search has."""
+    rng = random.Random(4)
+    pairs = [(f"n{rng.randrange(i):03d}", f"n{i:03d}") for i in range(1, 90)] + [("x0", "x1")]
+    e, src = edges(pairs), spark.createDataFrame([(f"n{i:03d}",) for i in range(90)], "source string")
+    ids = graph.node_set(e)
+    want = {(r.source, r.id): r.hops for r in graph.hops(e, src).collect()}
+    got = {(r.source, r.id): r.hops for r in graph.pair_hops(e, src.crossJoin(ids)).collect()}
+    assert len(got) == 90 * 92 and got == {k: want.get(k, -1) for k in got}
+    whole, bounds = bridges.hops, []
+    monkeypatch.setattr(bridges, "hops", lambda edges, sources, most=None, extra=None: bounds.append(most) or whole(edges, sources, most, extra))
+    p = ids.select("id", F.array(*(F.rand(i) / 2 for i in range(3))).alias("ball"), F.array(*(F.rand(9 + i) * 6 for i in range(8))).alias("torus"))
+    p = spark.createDataFrame(p.collect(), p.schema)
+    found = bridges.query_bridges(p, e, src.limit(5), count=4).collect()
+    assert len(found) == 20 and bounds and None not in bounds
+    near = p.alias("x").crossJoin(p.alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.ball").alias("ball_a"), F.col("x.torus").alias("torus_a"), F.col("y.ball").alias("ball_b"), F.col("y.torus").alias("torus_b"))
+    geo = {(r.a, r.b): r.g for r in near.select("a", "b", bridges.geometry("resonance", (1.0, 1.0), {}).alias("g")).collect()}
+    for a in {r.a for r in found}:
+        best = sorted((g, b) for (x, b), g in geo.items() if x == a and not 0 <= want.get((a, b), -1) < 3)[:4]
+        assert [r.b for r in sorted((r for r in found if r.a == a), key=lambda r: r.place)] == [b for _, b in best]
