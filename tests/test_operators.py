@@ -388,3 +388,34 @@ def test_bridges_search_hops_for_the_chosen_pairs_alone(spark, edges, monkeypatc
     for a in {r.a for r in found}:
         best = sorted((g, b) for (x, b), g in geo.items() if x == a and not 0 <= want.get((a, b), -1) < 3)[:4]
         assert [r.b for r in sorted((r for r in found if r.a == a), key=lambda r: r.place)] == [b for _, b in best]
+
+
+def test_searches_on_few_edges_are_those_in_rounds(spark, edges, monkeypatch):
+    """One job for all levels, and the same rows as a join a level has."""
+    rng = random.Random(11)
+    pairs = [(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(45)] + [("x0", "x1"), ("x0", "x0"), ("", "n01")]
+    e, ids = edges(pairs), [f"n{i:02d}" for i in range(40)] + ["x0", "gone"]
+    src = spark.createDataFrame([(n,) for n in ids], "source string")
+    own = spark.createDataFrame([("n01", 1, "n01", "x1"), ("n02", 1, "n07", "x0"), ("gone", 1, "gone", "n03"), ("n02", 2, "n02", "far")], "source string, pos long, a string, b string")
+    extra = own.selectExpr("source", "a as u", "b as v")
+    made = {
+        "hops": lambda: graph.hops(e, src),
+        "near": lambda: graph.hops(graph.adjacency(e), src, 2),
+        "extra": lambda: graph.hops(e, src, 4, extra),
+        "none": lambda: graph.hops(e.limit(0), src.limit(3)),
+        "pairs": lambda: graph.pair_hops(e, src.crossJoin(src.withColumnRenamed("source", "id"))),
+        "walk": lambda: metrics.ordered_walk(e, src, 3, spark.createDataFrame([(0, "n09", "x1"), (1, "n09", "n10")], "pos long, a string, b string"), own),
+        "cycles": lambda: graph.non_bridge_edges(e),
+    }
+    rows = lambda: {k: sorted(map(tuple, f().collect())) for k, f in made.items()}
+    whole, cuts = graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or whole(df))
+    graph.hops(e, src).count()
+    assert len(cuts) == 1  # two a level before
+    at_once = rows()
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    in_rounds = rows()
+    assert at_once == in_rounds and all(at_once.values())
+    monkeypatch.setattr(graph, "FEW_EDGES", 200_000)
+    monkeypatch.setattr(graph, "BLOCK_FOUND", 50)
+    assert sorted(map(tuple, graph.hops(e, src).collect())) == in_rounds["hops"]
